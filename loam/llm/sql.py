@@ -12,4 +12,12 @@ ORACLE = {
             array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, k: NOT list_contains(ps, k)) END, ' ') AS kept
             FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id)
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM kept""",
+    "op2_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, k, ls[k] AS line, translate(trim(ls[k], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM d)),
+        gone AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+        kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text, count(*) AS n FROM l WHERE key NOT IN (SELECT key FROM gone) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
 }
