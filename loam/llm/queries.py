@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from . import sql
 from .line_dedup import line_dedup
+from .minhash_dedup import minhash_dedup
 from .shared import documents
 from .substring_dedup import substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, sf_dir: substring_dedup(documents(spark, sf_dir)),
     "op2_line_dedup": lambda spark, sf_dir: line_dedup(documents(spark, sf_dir)),
+    "op10_minhash_dedup": lambda spark, sf_dir: minhash_dedup(documents(spark, sf_dir)),
 }
 ORACLE = {name: query for name, query in sql.ORACLE.items() if name in QUERIES}
