@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
+from .mixing import mix
 from .quality_rules import quality_rules
 from .shared import documents
 from .sharding import stratified_shards
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_substring_dedup": lambda spark, sf_dir: substring_dedup(documents(spark, sf_dir)),
     "op2_line_dedup": lambda spark, sf_dir: line_dedup(documents(spark, sf_dir)),
     "op4_quality_rules": lambda spark, sf_dir: quality_rules(documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 9)),
+    "op6_mixing": lambda spark, sf_dir: mix(documents(spark, sf_dir)),
     "op8_stratified_shards": lambda spark, sf_dir: stratified_shards(documents(spark, sf_dir)),
     "op10_minhash_dedup": lambda spark, sf_dir: minhash_dedup(documents(spark, sf_dir)),
 }

@@ -74,4 +74,15 @@ ORACLE = {
         p AS (SELECT *, row_number() OVER (ORDER BY part, source NULLS LAST, key, size) AS place, count(*) OVER () AS n FROM f)
         SELECT doc_id, size, text_crc32, 'rows' AS law, CAST((place * 8 - 1) // n AS INTEGER) AS shard,
             CAST(place - 1 - ((place * 8 - 1) // n) * n // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p""",
+    "op6_mixing": rf"""
+        WITH t AS (SELECT doc_id, source, len({WORDS}) AS size, ('0x' || md5('loam|' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:15])::BIGINT AS key FROM documents),
+        z AS (SELECT source, sum(size) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS weight FROM t GROUP BY source),
+        f AS (SELECT *, 1.5 * sum(source_size) OVER () AS budget, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS rest, coalesce(sum(2 * source_size) OVER o, 0) AS filled
+            FROM z WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT *, CASE WHEN 2 * source_size / weight > (budget - filled) / rest THEN (budget - filled) / rest END AS level FROM f),
+        g AS (SELECT source, source_size, CASE WHEN level IS NULL THEN 2 * source_size ELSE weight * min(level) OVER () END::DOUBLE AS target FROM l),
+        r AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS rounds FROM g),
+        c AS (SELECT t.*, r.source_size, target, rounds, sum(size) OVER (PARTITION BY t.source ORDER BY key) <= target - rounds * r.source_size AS again
+            FROM t JOIN r ON t.source IS NOT DISTINCT FROM r.source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * least(rounds + again::INT, 2) AS BIGINT) AS taken FROM c""",
 }
