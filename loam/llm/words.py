@@ -51,7 +51,10 @@ class Words:
     end: np.ndarray
     first: np.ndarray
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
+    def hashes(self, lower: bool = False, most: int | None = None) -> np.ndarray:
+        """One hash for each word, or for its first ``most`` bytes, at most a block's."""
+        if most is not None:
+            return Words(self.data, self.start, np.minimum(self.end, self.start + most), self.first).hashes(lower)
         data = _LOWER[self.data] if lower else self.data
         out = np.empty(len(self.start), np.uint64)
         at = 0
