@@ -9,6 +9,7 @@ from . import sql
 from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
 from .mixing import mix
+from .pieces import encode
 from .quality_rules import quality_rules
 from .shared import documents
 from .sharding import stratified_shards
@@ -23,6 +24,7 @@ QUERIES = {
     .select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages")),
     "op6_mixing": lambda spark, sf_dir: mix(documents(spark, sf_dir)),
     "op8_stratified_shards": lambda spark, sf_dir: stratified_shards(documents(spark, sf_dir)),
+    "op9_sampled_pieces": lambda spark, sf_dir: encode(documents(spark, sf_dir)),
     "op10_minhash_dedup": lambda spark, sf_dir: minhash_dedup(documents(spark, sf_dir)),
 }
 ORACLE = {name: query for name, query in sql.ORACLE.items() if name in QUERIES}

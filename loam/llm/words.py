@@ -125,6 +125,22 @@ def grams(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix(out)
 
 
+class Substrings:
+    """Hashes of substrings of at most BLOCK bytes, equal to those of words."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.sums = data, None
+        if len(data) <= BLOCK:
+            self.sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE[data] * _UP[: len(data)], out=self.sums[1:])
+
+    def hashes(self, start: np.ndarray, size: int) -> np.ndarray:
+        if self.sums is None:
+            return Words(self.data, start, start + size, np.array([0, len(start)])).hashes()
+        with np.errstate(over="ignore"):
+            return mix((self.sums[start + size] - self.sums[start]) * _DOWN[start] + np.uint64(size * _RINV % 2**64))
+
+
 def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... n[0] of them, then start[1], ..."""
     total = int(n.sum())
