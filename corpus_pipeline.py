@@ -1,15 +1,68 @@
-"""A corpus from raw documents to sampled pieces, in stages that each read what the one before kept."""
+"""A corpus from raw documents to sampled pieces, in stages that each work on all that the
+one before kept. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from loam.llm.line_dedup import line_dedup
+from loam.llm.minhash_dedup import minhash_dedup
+from loam.llm.mixing import mix
+from loam.llm.pieces import encode
+from loam.llm.shared import written
+from loam.llm.toxicity import toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity(docs, labels, carry=COLUMNS[1:])
+    return scored.filter("predicted = 0").select(*COLUMNS)
+
+
+def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less the lines that ten or more of them hold."""
+    out = line_dedup(docs, with_text=True, carry=("lang", "source"))
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, and all that have none."""
+    gone = minhash_dedup(docs).filter("NOT kept").select("doc_id")
+    return docs.join(written(gone, "near-duplicates"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them; those without words not at all."""
+    times = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("id"), F.expr("taken div size").cast("int").alias("times"))
+    times = written(times.dropDuplicates(["id"]), "times")
+    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("id")) & (F.char_length("text") > 0))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+
+
+def sampled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every text."""
+    return encode(docs, carry=("lang", "source"))
+
+
+STAGES = [
+    ("toxicity", clean),
+    ("line dedup", without_common_lines),
+    ("MinHash near-dedup", one_of_each_group),
+    ("mixing to target weights", mixed),
+    ("sampled pieces", sampled),
+]
+#: Trained scores and hash signatures can't be expressed in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{i}")
     return docs
