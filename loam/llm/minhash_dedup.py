@@ -8,8 +8,9 @@ threshold are confirmed on full shingle sets.
 
 Copies never make pairs: equal sets are one class with one representative. In a bucket
 each representative is first held against the least one only. What these links leave in
-different components is then compared in blocks of bounded size, so that no link is
-lost and a bucket whose members are one component, however large, costs nothing more.
+different components is then compared inside tasks, in blocks of bounded size that carry
+the full sets: no link is lost, no pairs are sent anywhere, and a bucket whose members are
+one component, however large, costs nothing more.
 """
 
 from __future__ import annotations
@@ -115,53 +116,63 @@ def _confirm(percent: int):
 
 
 def _across(percent: int, total: int, floor: float):
-    """Pairs within each run of equal (key, i, j) that are of different components, of sizes
-    that allow the threshold, and estimated at ``floor`` or more. i != j: only pairs of the
-    two blocks; a run has at most two blocks' rows, and no more than one run is held."""
-
-    def pairs(run: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        doc, n, comp, block, low = run
-        us, vs = [], []
+    """Links within each run of equal (key, i, j) that join different components, confirmed
+    on full sets; of links that join the same components, one. Estimates below ``floor`` and
+    sizes that rule the threshold out save the confirmation. i != j: only pairs of the two
+    blocks; a run has at most two blocks' rows, and no more than one run is held."""
+
+    def linked(run: list) -> list[tuple[int, int]]:
+        doc, n, comp, block, low, sets = run
+        _, group = np.unique(comp, return_inverse=True)
         crossed = len(np.unique(block)) > 1
+        out = []
         for r in range(len(doc) - 1):
-            ok = (comp[r + 1 :] != comp[r]) & (100 * np.minimum(n[r], n[r + 1 :]) >= percent * np.maximum(n[r], n[r + 1 :]))
+            ok = (group[r + 1 :] != group[r]) & (100 * np.minimum(n[r], n[r + 1 :]) >= percent * np.maximum(n[r], n[r + 1 :]))
             if crossed:
                 ok &= block[r + 1 :] != block[r]
             other = np.flatnonzero(ok) + r + 1
-            if len(other):
-                x = low[other] ^ low[r]
-                unlike = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(EVERY_OTHER)).sum(1)
-                chance = 0.5**BITS
-                other = other[((1 - unlike / total) - chance) / (1 - chance) >= floor]
-                us.append(np.full(len(other), doc[r]))
-                vs.append(doc[other])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *us]), np.concatenate([none, *vs])
+            if not len(other):
+                continue
+            x = low[other] ^ low[r]
+            unlike = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(EVERY_OTHER)).sum(1)
+            chance = 0.5**BITS
+            other = other[((1 - unlike / total) - chance) / (1 - chance) >= floor]
+            if not len(other):
+                continue
+            own, theirs = sets[r], np.concatenate([sets[k] for k in other])
+            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            both = np.add.reduceat(hit, np.cumsum(n[other]) - n[other], dtype=np.int64)
+            for k in other[100 * both >= percent * (n[r] + n[other] - both)]:
+                if group[k] != group[r]:
+                    group[group == group[k]] = group[r]
+                    out.append((doc[r], doc[k]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list | None = None
         mark = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, i, j, doc, n, comp, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
             low = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(key), -1)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(8)]
             ends = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             out = []
             for a, b in zip([0, *ends], [*ends, len(key)], strict=True):
-                part = [x[a:b] for x in (doc, n, comp, block, low)]
+                part = [*[x[a:b] for x in (doc, n, comp, block, low)], sets[a:b]]
                 own = (key[a], i[a], j[a])
                 if own == mark:
-                    held = [np.concatenate(x) for x in zip(held, part, strict=True)]
+                    held = [*[np.concatenate(x) for x in zip(held[:5], part[:5], strict=True)], held[5] + part[5]]
                 else:
                     if held is not None:
-                        out.append(pairs(held))
+                        out += linked(held)
                     held, mark = part, own
-            for u, v in out:
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-        if held is not None:
-            u, v = pairs(held)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
+        out = linked(held) if held is not None else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
 
     return run
 
@@ -174,7 +185,7 @@ def _like(total: int, words: int):
 
 
 def minhash_dedup(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, bands: int = 48, rows: int = 6, floor: float = 0.6, block: int = 2048
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, bands: int = 48, rows: int = 6, floor: float = 0.6, block: int = 1024
 ) -> DataFrame:
     """Links documents whose sets of ``shingle``-word sequences, A to Z in lower case, have
     a Jaccard similarity of ``percent`` % or more. Returns for every row doc_id, n_shingles,
@@ -208,33 +219,46 @@ def minhash_dedup(
         out = out.filter(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
         return out.filter(_like(total, long_words) >= floor).select("u", "v")
 
+    def full(ids: DataFrame) -> DataFrame:
+        sets = table.join(ids.distinct(), "doc_id").select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id long, shingles binary")
+        return written(sets, "shingle-sets")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
-        ends = pairs.select(F.inline(F.array(F.struct(F.col("u").alias("doc_id")), F.struct(F.col("v").alias("doc_id"))))).distinct()
-        sets = table.join(ends, "doc_id").select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id long, shingles binary")
-        sets = written(sets, "shingle-sets")
+        sets = full(pairs.select(F.inline(F.array(F.struct(F.col("u").alias("doc_id")), F.struct(F.col("v").alias("doc_id"))))))
         held = pairs.join(sets.toDF("u", "s_u"), "u").join(sets.toDF("v", "s_v"), "v")
         return written(held.select("u", "v", "s_u", "s_v").mapInArrow(_confirm(percent), "u long, v long"), "links")
 
-    stars = members.filter("doc_id != least").select(F.col("least").alias("u"), F.col("doc_id").alias("v")).distinct()
-    links = confirmed(allowed(stars))
-    found = written(components(links), "components")
+    def joined(links: DataFrame) -> DataFrame:
+        return written(components(links).withColumnRenamed("node", "doc_id"), "components")
+
+    # One link each to the least document of all buckets joins most of a large group; the
+    # least members of single buckets matter only where they are of another component still.
+    stars = members.filter("doc_id != least").groupBy("doc_id").agg(F.min("least").alias("u"))
+    links = confirmed(allowed(stars.select("u", F.col("doc_id").alias("v"))))
+    found = joined(links)
+    tips = members.filter("doc_id != least").join(found, "doc_id", "left").withColumn("c_v", F.coalesce("component", "doc_id")).drop("component")
+    tips = tips.join(found.toDF("least", "component"), "least", "left").filter(F.coalesce("component", "least") != F.col("c_v"))
+    more = written(tips.select(F.col("least").alias("u"), F.col("doc_id").alias("v")).distinct(), "star-pairs")
+    if not more.isEmpty():
+        links = links.union(confirmed(allowed(more)))
+        found = joined(links)
     # What is left: pairs of a bucket in different components, neither of them the least member.
-    rest = members.filter("doc_id != least AND size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rest = members.filter("doc_id != least AND size > 2").join(found, "doc_id", "left")
     rest = rest.select("key", "doc_id", "n", "size", F.coalesce("component", "doc_id").alias("component"))
     rest = written(rest, "bucket-components")
     mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
+    rest = written(rest.join(mixed, "key", "left_semi"), "mixed-buckets")
+    sets = full(rest.select("doc_id"))
     blocks = F.ceil(F.col("size") / block).cast("int")
-    rest = rest.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    rest = rest.join(reps.select("doc_id", "low"), "doc_id").join(sets, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "component", "block")
-    rest = rest.join(reps.select("doc_id", "low"), "doc_id").select("key", "i", "j", "doc_id", "n", "component", "block", "low")
+    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "component", "block", "low", "shingles")
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = rest.mapInArrow(_across(percent, total, floor), "u long, v long").distinct()
-    more = written(more, "cross-pairs")
+    more = written(rest.mapInArrow(_across(percent, total, floor), "u long, v long").distinct(), "cross-links")
     if not more.isEmpty():
-        found = written(components(links.union(confirmed(more))), "components")
-    verdicts = classes.join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+        found = joined(links.union(more))
+    verdicts = classes.join(found.withColumnRenamed("doc_id", "node"), F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     verdicts = written(verdicts, "class-components")
     out = signed.select("doc_id", "n", "d1", "d2").join(verdicts, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
