@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from . import boosting, page_maker
 from .dom import Node, blocks
 from .shared import pick
+from .words import frugal
 
 TAGS = "#text p h1 h2 h3 h4 h5 h6 div section article main body nav header footer aside form fieldset button label ul ol li dl dt dd table tr td th blockquote pre figure figcaption details summary address".split()
 #: Words in class, id and role, by what they tell.
@@ -161,4 +162,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     model = pages.sparkSession.sparkContext.broadcast(trained())
     table = pick(pages, html=html, page_id=page_id, url=url)
     kind = table.schema["page_id"].dataType.simpleString()
-    return table.mapInArrow(_extract(model), f"page_id {kind}, url string, text string, n_chars long")
+    return table.mapInArrow(frugal(_extract(model)), f"page_id {kind}, url string, text string, n_chars long")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import pick, written
-from .words import buffers
+from .words import buffers, frugal
 
 BLANKS = b" \t\n\v\f\r"
 
@@ -135,7 +135,7 @@ def line_dedup(
     table = pick(docs, doc_id=doc_id, text=text, **named)
     table = table.withColumn("j", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     dealt = table.select(F.pmod(F.xxhash64("j"), F.lit(batches)).cast("int").alias("batch"), "j", "text")
-    lines = written(dealt.mapInArrow(_emit(min_chars), "batch int, j long, key binary"), "lines")
+    lines = written(dealt.mapInArrow(frugal(_emit(min_chars)), "batch int, j long, key binary"), "lines")
     runs = LineRuns(min_docs, fan_in)
     for i in range(batches):
         runs.add(lines.filter(F.col("batch") == i))
@@ -145,4 +145,4 @@ def line_dedup(
     fields = [T.StructField(c, table.schema[a].dataType) for a, c in (("doc_id", "doc_id"), *named.items())]
     fields += [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept", T.StringType())] * with_text
-    return joined.mapInArrow(_rewrite(min_chars, with_text), T.StructType(fields))
+    return joined.mapInArrow(frugal(_rewrite(min_chars, with_text)), T.StructType(fields))

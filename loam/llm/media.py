@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .dom import Node, blocks
 from .shared import pick, written
-from .words import buffers
+from .words import buffers, frugal
 
 ROW = 64
 ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
@@ -188,7 +188,7 @@ def interleaved(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = (
     named = {f"c{i}": c for i, c in enumerate(carry)}
     table = pick(pages, html=html, **named)
     types = ", ".join(f"`{c.replace('`', '``')}` {table.schema[a].dataType.simpleString()}" for a, c in named.items())
-    return table.mapInArrow(_parse, f"{types}, items {ITEM_TYPE}" if types else f"items {ITEM_TYPE}")
+    return table.mapInArrow(frugal(_parse), f"{types}, items {ITEM_TYPE}" if types else f"items {ITEM_TYPE}")
 
 
 def resolved(references: DataFrame, store: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def resolved(references: DataFrame, store: DataFrame) -> DataFrame:
     stored media back gives, once for each digest. Digests that the store lacks, null ones
     among them, get nulls; copies in the store count as one. A digest that a third of the
     references share is split by the join, both of whose sides are tables."""
-    found = store.filter("digest IS NOT NULL").select("digest", "media").mapInArrow(_read, READ)
+    found = store.filter("digest IS NOT NULL").select("digest", "media").mapInArrow(frugal(_read), READ)
     return references.join(written(found.dropDuplicates(["digest"]), "media-features"), "digest", "left")
 
 
@@ -215,7 +215,7 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     table = pick(docs, text=text, doc_id=doc_id)
     kind = table.schema["doc_id"].dataType.simpleString()
     made = table.select("text", "doc_id", F.col("doc_id").cast("string").alias("key"))
-    made = made.mapInArrow(_pages, f"doc_id {kind}, n_bytes long, html string, digest string, media binary")
+    made = made.mapInArrow(frugal(_pages), f"doc_id {kind}, n_bytes long, html string, digest string, media binary")
     made = interleaved(made, carry=("doc_id", "n_bytes", "digest", "media"))
     shown = F.filter("items", lambda x: x["kind"] == "media")[0]
     made = written(made.select("doc_id", "n_bytes", "media", F.col("digest").alias("key"), shown["digest"].alias("digest"), shown["position"].alias("position"), shown["caption"].alias("caption")), "media")

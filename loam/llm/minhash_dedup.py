@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import pick, written
-from .words import Words, chunks, grams, mix
+from .words import Words, chunks, frugal, grams, mix
 
 BITS = 2
 CHUNK = 1 << 19
@@ -203,7 +203,7 @@ def minhash_dedup(
     total = bands * rows
     long_words = -(-total * BITS // 64)
     table = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = written(table.mapInArrow(_sign(shingle, bands, rows), "doc_id long, n long, d1 long, d2 long, low array<long>, keys array<long>"), "signatures")
+    signed = written(table.mapInArrow(frugal(_sign(shingle, bands, rows)), "doc_id long, n long, d1 long, d2 long, low array<long>, keys array<long>"), "signatures")
     named = signed.filter("doc_id IS NOT NULL AND n > 0")
     classes = written(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(named.join(classes, ["d1", "d2", "n"]).filter("doc_id = rep").select("doc_id", "n", "low", "keys"), "representatives")
@@ -220,14 +220,14 @@ def minhash_dedup(
         return out.filter(_like(total, long_words) >= floor).select("u", "v")
 
     def full(ids: DataFrame) -> DataFrame:
-        sets = table.join(ids.distinct(), "doc_id").select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id long, shingles binary")
+        sets = table.join(ids.distinct(), "doc_id").select("doc_id", "text").mapInArrow(frugal(_sets(shingle)), "doc_id long, shingles binary")
         return written(sets, "shingle-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         sets = full(pairs.select(F.inline(F.array(F.struct(F.col("u").alias("doc_id")), F.struct(F.col("v").alias("doc_id"))))))
         held = pairs.join(sets.toDF("u", "s_u"), "u").join(sets.toDF("v", "s_v"), "v")
-        return written(held.select("u", "v", "s_u", "s_v").mapInArrow(_confirm(percent), "u long, v long"), "links")
+        return written(held.select("u", "v", "s_u", "s_v").mapInArrow(frugal(_confirm(percent)), "u long, v long"), "links")
 
     def joined(links: DataFrame) -> DataFrame:
         return written(components(links).withColumnRenamed("node", "doc_id"), "components")
@@ -255,7 +255,7 @@ def minhash_dedup(
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "component", "block", "low", "shingles")
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = written(rest.mapInArrow(_across(percent, total, floor), "u long, v long").distinct(), "cross-links")
+    more = written(rest.mapInArrow(frugal(_across(percent, total, floor)), "u long, v long").distinct(), "cross-links")
     if not more.isEmpty():
         found = joined(links.union(more))
     verdicts = classes.join(found.withColumnRenamed("doc_id", "node"), F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))

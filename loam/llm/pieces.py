@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import pick
-from .words import Substrings, Words, buffers, mix, ranges
+from .words import Substrings, Words, buffers, frugal, mix, ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 32
-BATCH = 8 << 20
+BATCH = 2 << 20
 BLOCK = 1 << 17
 
 
@@ -287,7 +287,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     fields = [T.StructField(c, table.schema[a].dataType) for a, c in (("doc_id", "doc_id"), *named.items())]
     fields += [T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("text_sha256", T.StringType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
-    return table.mapInArrow(_encode(pieces, seed, with_ids), T.StructType(fields))
+    return table.mapInArrow(frugal(_encode(pieces, seed, with_ids)), T.StructType(fields))
 
 
 def decoded(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -301,4 +301,4 @@ def decoded(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFra
             texts = [None if x.as_py() is None else decode(pieces.value, x.values.to_numpy(zero_copy_only=False))[1:].decode() for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(frugal(run), schema)

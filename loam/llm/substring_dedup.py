@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import pick, written
-from .words import buffers, chunks, grams, mix, ranges, split
+from .words import buffers, chunks, frugal, grams, mix, ranges, split
 
 PATHS = "h long, c long, doc_id long, at long"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -135,7 +135,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     table = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = table.filter(F.col("doc_id").isNotNull())
-    paths = known.mapInArrow(_paths(window, seed), PATHS)
+    paths = known.mapInArrow(frugal(_paths(window, seed)), PATHS)
     repeated = written(paths.select("h").groupBy("h").count().filter("count > 1").select("h"), "repeated-minimizers")
     hits = written(paths.join(repeated, "h", "left_semi"), "repeated-paths")
     firsts = written(
@@ -149,7 +149,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     forked = firsts.groupBy("h").count().filter("count > 1").select("h")
     apart = firsts.join(forked, "h", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
     apart = written(apart.groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "forked-paths")
-    edges = known.join(apart, "doc_id").select("doc_id", "text", "ats").mapInArrow(_windows(window), "w1 long, w2 long, doc_id long, at long")
+    edges = known.join(apart, "doc_id").select("doc_id", "text", "ats").mapInArrow(frugal(_windows(window)), "w1 long, w2 long, doc_id long, at long")
     edges = written(edges, "edges")
     shared = edges.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(shared.select("w1", "w2", F.col("f.doc_id").alias("d0"), F.col("f.at").alias("a0")), "shared-edges")
@@ -158,4 +158,4 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = RESULT + (", kept string" if with_text else "")
     nameless = table.filter(F.col("doc_id").isNull()).withColumn("ats", F.lit(None).cast("array<bigint>"))
     joined = known.join(spans, "doc_id", "left").select("doc_id", "text", "ats")
-    return joined.union(nameless).mapInArrow(_kept(window, with_text), out)
+    return joined.union(nameless).mapInArrow(frugal(_kept(window, with_text)), out)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import pick, written
-from .words import Words, chunks
+from .words import Words, chunks, frugal
 
 #: A power of 2.
 BUCKETS = 1 << 17
@@ -213,7 +213,9 @@ def _surprises(models):
     return run
 
 
-def _scores(model):
+def _scores(model, carried: list[int]):
+    """carried: columns that go before score and passages."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
@@ -224,7 +226,7 @@ def _scores(model):
                     x, found = _features(m, steps[a:b])
                     scores.append(float(_curve(m.curve, np.array([x]))[0]))
                     passages.append([{"first": x, "last": y - 1, "surprise": s} for x, y, s in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array(passages, pa.list_(PASSAGE))], names=[str(i) for i in range(batch.num_columns + 1)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in carried], pa.array(scores, pa.float64()), pa.array(passages, pa.list_(PASSAGE))], names=[str(i) for i in range(len(carried) + 2)])
 
     return run
 
@@ -271,8 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     train = train.groupBy("text").agg(F.max("toxic").alias("toxic"))
     train = written(train.select("text", (2 * F.pmod(F.xxhash64("text"), F.lit(2)) + F.col("toxic")).cast("int").alias("side")), "labelled")
     sc = docs.sparkSession.sparkContext
-    (corpus,) = _totals(table.select("text").mapInArrow(_corpus, "bucket int, n0 long"))
-    held = _totals(train.mapInArrow(_labelled, "bucket int, n0 long, n1 long, n2 long, n3 long"))
+    (corpus,) = _totals(table.select("text").mapInArrow(frugal(_corpus), "bucket int, n0 long"))
+    held = _totals(train.mapInArrow(frugal(_labelled), "bucket int, n0 long, n1 long, n2 long, n3 long"))
     rows = {r["side"]: r["count"] for r in train.groupBy("side").count().collect()}
     texts = [rows.get(i, 0) for i in range(4)]
 
@@ -283,12 +285,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
         return log_odds(sum(held[2 * f + 1] for f in folds), sum(held[2 * f] for f in folds), corpus, (toxic, clean))
 
     crossed = [odds(1), odds(0)]
-    shape = train.filter("side % 2 = 0").mapInArrow(_steps(sc.broadcast(crossed)), "bin int, n long")
+    shape = train.filter("side % 2 = 0").mapInArrow(frugal(_steps(sc.broadcast(crossed))), "bin int, n long")
     shape = shape.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toArrow()
     rate = _decay(shape.column("bin").to_numpy() / FINE, shape.column("n").to_numpy()) if len(shape) else 1.0
 
     def seen(scale: float) -> DataFrame:
-        return train.mapInArrow(_surprises(sc.broadcast([Model(o, rate, scale, ()) for o in crossed])), SEEN_TYPES)
+        return train.mapInArrow(frugal(_surprises(sc.broadcast([Model(o, rate, scale, ()) for o in crossed]))), SEEN_TYPES)
 
     row = seen(1.0).filter("side % 2 = 0 AND n > 0").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.exp(-rate * F.col("best"))).alias("s")).first()
     scale = max(row["k"], 1) / max(row["s"] or 1.0, 1e-12)
@@ -315,12 +317,14 @@ def toxicity(
     are scanned whole. An empty table gives an empty result. Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label, max_rows))
-    named = {f"c{i}": c for i, c in enumerate(carry)}
+    named = {f"c{i}": c for i, c in enumerate(carry) if c != text}  # the text goes to Python once
     table = pick(docs, text=text, doc_id=doc_id, **named)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     table = table.select("text", "doc_id", *named, held.alias("held_out"))
-    fields = [T.StructField(c, table.schema[a].dataType) for a, c in (("doc_id", "doc_id"), *named.items())]
+    of = {c: a for a, c in named.items()} | {text: "text"}
+    out = [("doc_id", "doc_id"), *[(of[c], c) for c in carry], ("held_out", "held_out")]
+    fields = [T.StructField(c, table.schema[a].dataType) for a, c in out]
     passage = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("surprise", T.DoubleType())])
-    fields += [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(passage))]
-    out = table.mapInArrow(_scores(model), T.StructType(fields))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    fields += [T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(passage))]
+    scored = table.mapInArrow(frugal(_scores(model, [table.columns.index(a) for a, _ in out])), T.StructType(fields))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -7,7 +7,9 @@ buffers, without a Python object for each word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +44,19 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker hands back the memory that it holds but no longer uses:
+    workers live on, and an executor has one for each core."""
+
+    def frugal_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return frugal_run
+
+
 @dataclass
 class Words:
     """start, end: byte places in data. first[i]:first[i + 1]: the words of text i."""
