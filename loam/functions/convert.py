@@ -187,7 +187,7 @@ def _ordered(order: str, cutoff: int | None, v: Column) -> Column:
     s = F.lower(F.trim(v))
     for i, name in enumerate(MONTHS):
         s = F.regexp_replace(s, rf"(?<![a-z]){name}[a-z]*\.?", f" {i + 1:02d} ")
-    s = F.regexp_replace(s, r"(\d)(st|nd|rd|th)(?![a-z])", "$1")
+    s = F.trim(F.regexp_replace(s, r"(\d)(st|nd|rd|th)(?![a-z])", "$1"))
     mark = r"[\s\-/.,_年月日:]*"
     apart = {"y": r"(\d{4}|\d{2})", "m": r"(\d{1,2})", "d": r"(\d{1,2})"}
     whole = "^" + r"[\s\-/.,_:]+".join(apart[p] for p in order) + mark + "$"

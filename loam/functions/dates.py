@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -276,7 +277,6 @@ def with_tz(x: Any, tzone: str = "UTC") -> Expr:
 def force_tz(x: Any, tzone: str = "UTC", *, roll_dst: tuple[str, str] = ("NA", "post")) -> Expr:
     """The instant, as UTC's clock, at which a zone's clock shows x. roll_dst: what to do with
     times that the clock skips, and with those it shows twice: NA, pre, boundary or post."""
-    import pandas as pd
 
     zone = ZoneInfo(tzone)
     skipped, twice = roll_dst

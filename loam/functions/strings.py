@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +91,6 @@ def str_ilike(string: Any, p: str) -> Expr:
 
 def _normal(c: Column) -> Column:
     """Composed form; ASCII never leaves the JVM, as the plan takes the other branch."""
-    import pandas as pd
 
     @F.pandas_udf(T.StringType())
     def nfc(x: pd.Series) -> pd.Series:
@@ -114,8 +114,6 @@ def str_length(string: Any) -> Expr:
 def str_width(string: Any) -> Expr:
     import unicodedata
 
-    import pandas as pd
-
     @F.pandas_udf(T.LongType())
     def width(x: pd.Series) -> pd.Series:
         def one(s: Any) -> Any:
@@ -304,8 +302,6 @@ def str_dup(string: Any, times: Any) -> Expr:
 def str_wrap(string: Any, width: int = 80, indent: int = 0, exdent: int = 0, whitespace_only: bool = True) -> Expr:
     import textwrap
 
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def wrap(x: pd.Series) -> pd.Series:
         return x.map(lambda s: None if s is None else "\n".join(textwrap.wrap(" ".join(s.split()), max(width - 1, 1), initial_indent=" " * indent, subsequent_indent=" " * exdent, break_long_words=False, break_on_hyphens=not whitespace_only)))
@@ -362,7 +358,6 @@ def str_locate(string: Any, p: Any) -> Expr:
 
 
 def str_locate_all(string: Any, p: Any) -> Expr:
-    import pandas as pd
 
     q = re.compile(pattern(p).java())
 

@@ -99,6 +99,7 @@ def mutate(f: Frame, /, *specs: Any, by: Any = None, keep: str = "all", before:
     """Adds or replaces columns, left to right. Aggregates are those of the row's group; None
     deletes a column; text is a value."""
     groups = transient(f, by)
+    f = f.placed()
     new = expanded(f, specs, named)
     names, levels, found = list(f.columns), dict(f.levels), list(f.problems_)
     c = f.context(groups)
@@ -131,8 +132,7 @@ def mutate(f: Frame, /, *specs: Any, by: Any = None, keep: str = "all", before:
         names = [x for x in names if x in held or x in groups or x in fresh]
     if before is not None or after is not None:
         names = _moved(f, names, [x for x in fresh if x not in f.columns], before, after)
-    base = f.placed() if not f.order and c.place else f
-    out = base.but(df=c.df, levels=levels, problems_=tuple(found), order=f.order, totals={})
+    out = f.but(df=c.df, levels=levels, problems_=tuple(found), totals={})
     return out.but(df=out.visible(c.df, names))
 
 

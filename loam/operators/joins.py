@@ -169,7 +169,7 @@ def _guard(df: DataFrame, rows: list[str], test: Column, message: str) -> DataFr
 
 
 def _join(x: Frame, right: Any, how: str, by: Any = None, on: Any = None, suffix: tuple[str, str] = ("_x", "_y"), keep: bool = False, na_matches: str = "na", multiple: str = "all", unmatched: str = "drop", relationship: str | None = None) -> Frame:
-    y = tidy(right)
+    x, y = x.placed(), tidy(right).placed()
     spec = _spec(x, y, on if by is None else by)
     for c in spec.conditions:
         x.need(c.left)
@@ -291,7 +291,7 @@ def anti_join(x: Frame, /, right: Any, *, on: Any = None, by: Any = None, na_mat
 
 @verb
 def cross_join(x: Frame, /, right: Any, *, suffix: tuple[str, str] = ("_x", "_y")) -> Frame:
-    y = tidy(right)
+    x, y = x.placed(), tidy(right).placed()
     left, other, _, _ = _sides(x, y)
     a, b = output_names(x.columns, y.columns, JoinSpec(()), True, suffix)
     df = left.crossJoin(other)
