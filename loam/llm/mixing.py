@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     # the level at which this source fills up is reached if the budget lasts that far
     level = (F.col("budget") - F.col("full")) / F.col("rest")
     one = one.withColumn("level", F.when(F.col("cap") / F.col("weight") > level, level))
-    level = F.min("level").over(every)
+    level = F.max("level").over(every)  # of the first source that does not fill up
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.col("weight") * level)
     return one.withColumn("target", target.cast("double")).select("source", "source_size", "target")
 

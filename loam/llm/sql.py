@@ -80,7 +80,7 @@ ORACLE = {
         f AS (SELECT *, 1.5 * sum(source_size) OVER () AS budget, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS rest, coalesce(sum(2 * source_size) OVER o, 0) AS filled
             FROM z WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         l AS (SELECT *, CASE WHEN 2 * source_size / weight > (budget - filled) / rest THEN (budget - filled) / rest END AS level FROM f),
-        g AS (SELECT source, source_size, CASE WHEN level IS NULL THEN 2 * source_size ELSE weight * min(level) OVER () END::DOUBLE AS target FROM l),
+        g AS (SELECT source, source_size, CASE WHEN level IS NULL THEN 2 * source_size ELSE weight * max(level) OVER () END::DOUBLE AS target FROM l),
         r AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS rounds FROM g),
         c AS (SELECT t.*, r.source_size, target, rounds, sum(size) OVER (PARTITION BY t.source ORDER BY key) <= target - rounds * r.source_size AS again
             FROM t JOIN r ON t.source IS NOT DISTINCT FROM r.source)
