@@ -538,3 +538,78 @@ def _(T):
 
     out = windowed(T("events") >> t.mutate(ts=col("ts").cast("timestamp")), "ts", "1 day", by=("event_type",), n=n())
     return out.selectExpr("CAST(window_start AS TIMESTAMP_NTZ) AS window_start", "event_type", "n")
+
+# More of the same families.
+
+columns("part", "p_partkey", {"name": "str_split_fixed", "a": "string_split(p_name, ' ')[1]", "b": "coalesce(array_to_string(string_split(p_name, ' ')[2:], ' '), '')"},
+    a=t.str_split_fixed(x, " ", 2)[0], b=t.str_split_fixed(x, " ", 2)[1])
+columns("part", "p_partkey", {"name": "str_equal_width", "a": "upper(p_name) = upper(p_name)", "b": "length(p_name)", "c": "p_name = 'x'"}, a=t.str_equal(x, t.str_to_upper(x), ignore_case=True), b=t.str_width(x), c=t.str_equal(x, "x"))
+columns("documents", "doc_id", {"name": "str_wrap", "a": "regexp_replace(text, '\\s+', '', 'g')"}, a=t.str_remove_all(t.str_wrap("text", 60), r"\s+"))
+columns("part", "p_partkey", {"name": "str_locate_all", "a": "len(regexp_extract_all(p_name, 'e'))::BIGINT"}, a=t.Expr(lambda c: __import__("pyspark.sql.functions", fromlist=["size"]).size(t.str_locate_all(x, "e")(c)).cast("long")))
+columns("part", "p_partkey", {"name": "str_match_all", "a": "len(regexp_extract_all(p_name, '([a-z])([aeiou])'))::BIGINT"}, a=t.Expr(lambda c: __import__("pyspark.sql.functions", fromlist=["size"]).size(t.str_match_all(x, "([a-z])([aeiou])")(c)).cast("long")))
+columns("part", "p_partkey", {"name": "str_camel_remove", "a": "regexp_replace(p_name, '[aeiou]', '')", "b": "p_name ILIKE '%AN%'", "c": "lower(p_name) = p_name"}, a=t.str_remove(x, "[aeiou]"), b=t.str_ilike(x, "%AN%"), c=t.str_detect(x, "[A-Z]", negate=True))
+columns("customer", "c_custkey", {"name": "str_rank", "a": "rank() OVER (ORDER BY c_mktsegment)"}, a=t.str_rank("c_mktsegment"))
+columns("orders", "o_orderkey", {"name": "leap_halves", "a": "(year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0", "b": "CASE WHEN hour(o_orderdate) < 12 THEN o_orderdate::DATE ELSE o_orderdate::DATE + 1 END::TIMESTAMP", "c": "date_trunc('quarter', o_orderdate)::TIMESTAMP", "e": "second(o_orderdate)::DOUBLE"},
+    a=t.leap_year(o), b=t.round_date(o, "day"), c=t.floor_date(o, "quarter"), e=t.second(o))
+columns("orders", "o_orderkey", {"name": "durations", "a": "(o_orderkey % 100) / 60.0::DOUBLE", "b": "o_orderdate + to_seconds(o_orderkey % 100 * 86400)", "c": "o_orderdate + INTERVAL 90 MINUTE"},
+    a=t.time_length(t.duration(col("o_orderkey") % 100, "second"), "minute"), b=col(o) + t.duration(col("o_orderkey") % 100, "day"), c=col(o) + t.dminutes(90))
+columns("orders", "o_orderkey", {"name": "fiscal_quarter", "a": "((month(o_orderdate) - 7 + 12) % 12) // 3 + 1", "b": "date_trunc('quarter', o_orderdate)::DATE"}, a=t.quarter(o, fiscal_start=7), b=t.quarter(o, "date_first"))
+columns("orders", "o_orderkey", {"name": "time_zones", "a": "timezone('America/New_York', timezone('UTC', o_orderdate))"}, a=t.with_tz(o, "America/New_York"))
+columns("orders", "o_orderkey", {"name": "parse_moments", "a": "date_trunc('minute', o_orderdate)", "b": "date_trunc('hour', o_orderdate)", "c": "date_trunc('second', o_orderdate)", "e": "date_trunc('month', o_orderdate)::DATE"},
+    a=t.mdy_hm(t.date_format(o, "%m/%d/%Y %H:%M")), b=t.dmy_h(t.date_format(o, "%d-%m-%Y %H")), c=t.parse_datetime(t.date_format(o, "%Y.%m.%d %H-%M-%S"), "%Y.%m.%d %H-%M-%S"), e=t.ym(t.date_format(o, "%Y-%m")))
+columns("orders", "o_orderkey", {"name": "parse_date_time", "a": "CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('second', o_orderdate) ELSE o_orderdate::DATE::TIMESTAMP END"},
+    a=t.parse_date_time(t.if_else(col("o_orderkey") % 2 == 0, t.date_format(o, "%Y-%m-%d %H:%M:%S"), t.date_format(o, "%d/%m/%Y")), ["ymd HMS", "dmy"]))
+columns("orders", "o_orderkey", {"name": "parse_logical_date", "a": "o_orderkey % 2 = 0", "b": "o_orderdate::DATE", "c": "date_trunc('second', o_orderdate)", "e": "(o_orderkey / 10)::DOUBLE"},
+    a=t.parse_logical(t.if_else(col("o_orderkey") % 2 == 0, "true", "0")), b=t.parse_date(t.date_format(o, "%d.%m.%Y"), "%d.%m.%Y"), c=t.as_datetime(t.str_c(t.date_format(o, "%Y-%m-%d"), "T", t.date_format(o, "%H:%M:%S"), "Z")), e=t.parse_double(t.str_replace((col("o_orderkey") / 10).cast("string"), t.fixed("."), ","), locale=t.locale(",", ".")))
+columns("customer", "c_custkey", {"name": "significant_digits", "a": "round_even(c_acctbal * 4, 0) / 4", "b": "c_acctbal"}, a=t.round_to_fraction("c_acctbal", 4), b=t.signif_half_up("c_acctbal", 12))
+query("row_means", "SELECT l_orderkey, l_partkey, round((l_quantity + l_tax) / 2, 6) AS m FROM lineitem")(lambda T: T("lineitem") >> t.transmute(l_orderkey=col("l_orderkey"), l_partkey=col("l_partkey"), m=t.round(t.row_means("l_quantity", "l_tax"), 6)))
+query("rowwise", "SELECT l_orderkey, l_partkey, greatest(l_discount, l_tax) AS hi FROM lineitem")(
+    lambda T: T("lineitem") >> t.select("l_orderkey", "l_partkey", "l_discount", "l_tax") >> t.rowwise() >> t.mutate(hi=t.c_across("l_discount", "l_tax").max()) >> t.ungroup() >> t.select("l_orderkey", "l_partkey", "hi")
+)
+query("with_groups", "SELECT o_orderkey, o_totalprice = max(o_totalprice) OVER (PARTITION BY o_custkey) AS top FROM orders")(lambda T: T("orders") >> t.with_groups("o_custkey", t.mutate(top=col("o_totalprice") == t.max("o_totalprice"))) >> t.select("o_orderkey", "top"))
+query("nest_by", "SELECT n_regionkey, CAST(count(*) AS INTEGER) AS k FROM nation GROUP BY ALL")(lambda T: T("nation") >> t.nest_by("n_regionkey") >> t.ungroup() >> t.with_spark(lambda df: df.selectExpr("n_regionkey", "size(data) AS k")))
+query("group_data", "SELECT n_regionkey, n_nationkey + 1 AS row FROM nation")(lambda T: T("nation") >> t.arrange("n_nationkey") >> t.group_by("n_regionkey") >> t.group_data() >> t.unnest_longer(".rows", values_to="row"))
+query("order_by", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY value, event_id) AS a FROM events")(
+    lambda T: T("events") >> t.arrange("event_id") >> t.group_by("user_id") >> t.mutate(a=t.order_by("value", t.lag("event_id"))) >> t.ungroup() >> t.select("event_id", "a")
+)
+query("cummean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id), 9) AS m FROM events")(lambda T: T("events") >> t.arrange("event_id") >> t.group_by("user_id") >> t.mutate(m=t.round(t.cummean("value"), 9)) >> t.ungroup() >> t.select("event_id", "m"))
+query("single_value", "SELECT n_regionkey, min(r_name) AS r FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")(lambda T: T("nation") >> t.left_join(T("region"), by={"n_regionkey": "r_regionkey"}) >> t.summarise(by="n_regionkey", r=t.single_value("r_name")))
+query("case_when_error_free", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS s FROM orders")(
+    lambda T: T("orders") >> t.transmute(o_orderkey=col("o_orderkey"), s=t.recode_values("o_orderstatus", from_=["F", "O", "P"], to=[1, 2, 3], unmatched="error"))
+)
+query("between_join", "SELECT p.p_partkey, b.band FROM part p JOIN (SELECT 1 AS lo, 10 AS hi, 'small' AS band UNION ALL SELECT 11, 50, 'large') b ON p.p_size BETWEEN b.lo AND b.hi")(
+    lambda T: T("part") >> t.inner_join(t.tidy({"lo": [1, 11], "hi": [10, 50], "band": ["small", "large"]}), by=t.join_by(t.between("p_size", "lo", "hi"))) >> t.select("p_partkey", "band")
+)
+query("within_join", "SELECT p.p_partkey FROM part p JOIN (SELECT 5 AS lo, 20 AS hi) b ON p.p_size >= b.lo AND p.p_size + 1 <= b.hi")(
+    lambda T: T("part") >> t.mutate(up=col("p_size") + 1) >> t.inner_join(t.tidy({"lo": [5], "hi": [20]}), by=t.join_by(t.within("p_size", "up", "lo", "hi"))) >> t.select("p_partkey")
+)
+query("full_seq", "SELECT unnest(range(0, 5))::BIGINT AS k")(lambda T: T("region") >> t.summarise(k=t.first(t.full_seq("r_regionkey", 1))) >> t.unnest_longer("k") >> t.mutate(k=col("k").cast("bigint")))
+query("expand_grid", "SELECT r_regionkey, n_nationkey FROM region, nation")(lambda T: t.expand_grid(T("region") >> t.select("r_regionkey"), T("nation") >> t.select("n_nationkey")))
+query("fct_collapse", "SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'home' ELSE 'other' END AS s, count(*) AS n FROM customer GROUP BY ALL")(
+    lambda T: T("customer") >> t.mutate(s=t.fct_collapse("c_mktsegment", home=["BUILDING", "FURNITURE"], other_level="other")) >> t.count("s")
+)
+query("fct_inorder_na", "SELECT coalesce(nullif(o_orderstatus, 'P'), '(Missing)') AS s, count(*) AS n FROM orders GROUP BY ALL")(lambda T: T("orders") >> t.mutate(s=t.na_if("o_orderstatus", "P")) >> t.mutate(s=t.fct_na_value_to_level(t.fct_inorder("s"))) >> t.count("s"))
+query("fct_lump_prop", "SELECT CASE WHEN n > 0.2 * sum(n) OVER () THEN c_mktsegment ELSE 'Other' END AS s, n FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL)")(
+    lambda T: T("customer") >> t.mutate(s=t.fct_lump_prop("c_mktsegment", 0.2)) >> t.count("s", "c_mktsegment") >> t.select("s", "n")
+)
+query("fct_reorder2", "SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY arg_max(c_acctbal, c_custkey) DESC) AS BIGINT) AS place FROM customer GROUP BY ALL")(
+    lambda T: T("customer") >> t.mutate(c_mktsegment=t.fct_reorder2("c_mktsegment", "c_custkey", "c_acctbal")) >> t.count("c_mktsegment") >> t.transmute(c_mktsegment=col("c_mktsegment"), place=t.row_number())
+)
+query("adorn_pct", "SELECT c_mktsegment, count(*) AS n, printf('%.0f%%', round_even(100 * count(*) / sum(count(*)) OVER (), 0)) AS percent FROM customer GROUP BY ALL")(lambda T: T("customer") >> t.tabyl("c_mktsegment") >> t.adorn_pct_formatting(0))
+query("row_to_names", "SELECT 'x' AS a LIMIT 0")(lambda T: t.tidy({"p": ["a"]}) >> t.row_to_names(1))
+query("compare_df_cols", "SELECT 'r_name' AS column_name, 'character' AS df_1, NULL::VARCHAR AS df_2 UNION ALL SELECT 'r_regionkey', 'integer', NULL UNION ALL SELECT 'n_name', NULL, 'character' UNION ALL SELECT 'n_nationkey', NULL, 'integer' UNION ALL SELECT 'n_regionkey', NULL, 'integer'")(
+    lambda T: t.compare_df_cols(T("region"), T("nation"))
+)
+query("separate_convert", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1)::BIGINT AS k FROM orders")(lambda T: T("orders") >> t.select("o_orderkey", "o_orderpriority") >> t.separate("o_orderpriority", ["k", None], sep="-", convert=True, extra="drop") >> t.select("o_orderkey", "k"))
+query("unnest_wider", "SELECT event_id, event_type AS s_kind, value AS s_v FROM events")(lambda T: T("events") >> t.pack("s", "event_type", "value") >> t.select("event_id", "s") >> t.unnest_wider("s", names_sep="_") >> t.rename(s_kind="s_event_type", s_v="s_value"))
+query("pivot_spec", "SELECT c_custkey, unnest(['nationkey', 'acctbal']) AS k, unnest([c_nationkey::DOUBLE, c_acctbal]) AS v FROM customer")(
+    lambda T: T("customer") >> t.select("c_custkey", "c_nationkey", "c_acctbal") >> t.pivot_longer_spec(t.build_longer_spec(T("customer"), ["c_nationkey", "c_acctbal"], names_to="k", values_to="v", names_prefix="c_"))
+)
+
+
+@query("session_windows", "SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) WHERE gap IS NULL OR gap > INTERVAL 2 HOUR GROUP BY ALL")
+def _(T):
+    from ..streaming.windows import sessions
+
+    out = sessions(T("events") >> t.mutate(ts=col("ts").cast("timestamp")), "ts", "2 hours", by=("user_id",), n=n())
+    return t.tidy(out) >> t.count("user_id", name="sessions")
