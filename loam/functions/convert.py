@@ -182,30 +182,55 @@ parse_time = _converter("parse_time", False, "a time of day", _time_of_day)
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
-def _ordered(order: str, cutoff: int | None, v: Column) -> Column:
-    """A date whose parts come in an order, with any marks between, or as bare digits."""
-    s = F.lower(F.trim(v))
-    for i, name in enumerate(MONTHS):
-        s = F.regexp_replace(s, rf"(?<![a-z]){name}[a-z]*\.?", f" {i + 1:02d} ")
-    s = F.trim(F.regexp_replace(s, r"(\d)(st|nd|rd|th)(?![a-z])", "$1"))
-    mark = r"[\s\-/.,_年月日:]*"
-    apart = {"y": r"(\d{4}|\d{2})", "m": r"(\d{1,2})", "d": r"(\d{1,2})"}
-    whole = "^" + r"[\s\-/.,_:]+".join(apart[p] for p in order) + mark + "$"
-    tight = "^" + "".join({"y": r"(\d{4})", "m": r"(\d{2})", "d": r"(\d{2})"}[p] for p in order) + "$"
-    short = "^" + "".join(r"(\d{2})" for p in order) + "$"
-    pick = lambda p: F.when(s.rlike(whole), F.regexp_extract(s, whole, order.index(p) + 1)).when(s.rlike(tight), F.regexp_extract(s, tight, order.index(p) + 1)).when(s.rlike(short), F.regexp_extract(s, short, order.index(p) + 1))
-    year = pick("y")
+def _ordered(c: Context, order: str, cutoff: int | None, v: Column) -> Column:
+    """A date whose parts come in an order, with any marks between, or as bare digits. Steps
+    that several others read are columns of their own, so that each runs once."""
+    fast = c.keep(_plain(order, v))
+    s = c.keep(F.when(fast.isNull(), F.lower(F.trim(v))))
+    named = rf"(?<![a-z])({'|'.join(MONTHS)})[a-z]*\.?"
+    name = F.regexp_extract(s, named, 1)
+    number = F.lpad(((F.instr(F.lit("".join(MONTHS)), name) + 2) / 3).cast("int").cast("string"), 2, "0")
+    s = F.when(s.rlike("[a-z]"), F.regexp_replace(F.when(name != "", F.regexp_replace(s, F.lit(named), F.concat(F.lit(" "), number, F.lit(" ")))).otherwise(s), r"(\d)(st|nd|rd|th)(?![a-z])", "$1")).otherwise(s)
+    s = c.keep(F.trim(s))
+    width = {"y": r"(?:\d{4}|\d{2})", "m": r"\d{1,2}", "d": r"\d{1,2}"}
+    apart = "^" + r"[\s\-/.,_:年月]+".join(width[p] for p in order) + r"[\s\-/.,_:年月日]*$"
+    digits = c.keep(F.when(s.rlike(apart), F.regexp_extract_all(s, F.lit(r"\d+"), F.lit(0))))
+    full, short = sum({"y": 4}.get(p, 2) for p in order), 2 * len(order)
+    bare = F.when(s.rlike(rf"^(\d{{{full}}}|\d{{{short}}})$"), s)
+
+    def pick(p: str) -> Column:
+        before = order[: order.index(p)]
+        long_at, short_at = 1 + sum({"y": 4}.get(q, 2) for q in before), 1 + 2 * len(before)
+        tight = F.when(F.length(bare) == full, F.substring(bare, long_at, 4 if p == "y" else 2)).otherwise(F.substring(bare, short_at, 2))
+        return F.coalesce(F.get(digits, F.lit(order.index(p))), tight)
+
+    year = c.keep(pick("y"))
     y = F.when(F.length(year) == 4, year.try_cast("int"))
     if cutoff is not None:
         two = year.try_cast("int")
         y = F.when(F.length(year) == 4, two).when(F.length(year) == 2, F.when(two <= cutoff, two + 2000).otherwise(two + 1900))
     d = pick("d").try_cast("int") if "d" in order else F.lit(1)
-    return F.try_make_timestamp_ntz(y, pick("m").try_cast("int"), d, F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    return F.coalesce(fast, F.try_make_timestamp_ntz(y, pick("m").try_cast("int"), d, F.lit(0), F.lit(0), F.lit(0)).cast("date"))
+
+
+def _plain(order: str, v: Column) -> Column:
+    """Dates of ten characters with padded parts and single marks, without a pattern."""
+    if sorted(order) != ["d", "m", "y"]:
+        return F.lit(None).cast("date")
+    at, start = {}, 1
+    for p in order:
+        at[p] = F.substring(v, start, 4 if p == "y" else 2)
+        start += 5 if p == "y" else 3
+    marks = [5, 8] if order[0] == "y" else [3, 8] if order[1] == "y" else [3, 6]
+    ok = F.length(v) == 10
+    for m in marks:
+        ok = ok & F.substring(v, m, 1).isin("-", "/", ".", " ")
+    return F.when(ok, F.concat(at["y"], F.lit("-"), at["m"], F.lit("-"), at["d"]).try_cast("date"))
 
 
 def _dates(order: str) -> Callable[..., Expr]:
     def f(c: Context, v: Column, cutoff: int | None = None) -> Column:
-        return _ordered(order, cutoff, v.cast("string")) if not isinstance(c.type(v), (T.DateType, T.TimestampNTZType, T.TimestampType)) else v.cast("date")
+        return _ordered(c, order, cutoff, v.cast("string")) if not isinstance(c.type(v), (T.DateType, T.TimestampNTZType, T.TimestampType)) else v.cast("date")
 
     return f
 
@@ -215,22 +240,24 @@ ymd, mdy, dmy, ym = (_converter(o, False, f"a date as {o}", _dates(o)) for o in
 
 def _moments(order: str, clock: str) -> Callable[..., Column]:
     def f(c: Context, v: Column, tz: str = "UTC", truncated: int = 0, cutoff: int | None = None) -> Column:
-        s = F.trim(v.cast("string"))
+        s = c.keep(F.trim(v.cast("string")))
         out = None
         for k in range(len(clock), len(clock) - 1 - truncated, -1):
             part = {3: r"(\d{1,2})\D+(\d{1,2})\D+(\d{1,2}(?:\.\d+)?)", 2: r"(\d{1,2})\D+(\d{1,2})", 1: r"(\d{1,2})", 0: ""}[max(k, 0)]
             whole = rf"^(.*?)[\sT,_:]+{part}\s*([aApP][mM])?\s*(?:Z|UTC)?$" if k > 0 else r"^(.*)$"
-            date = _ordered(order, cutoff, F.regexp_extract(s, whole, 1))
-            n = [F.regexp_extract(s, whole, i + 2) for i in range(max(k, 0))]
+            fields = c.keep(F.when(s.rlike(whole), F.array(*[F.regexp_extract(s, whole, i + 1) for i in range(max(k, 0) + 1 + (k > 0))])))
+            date = _ordered(c, order, cutoff, F.get(fields, F.lit(0)))
+            n = [F.get(fields, F.lit(i + 1)) for i in range(max(k, 0))]
             h = n[0].try_cast("int") if k > 0 else F.lit(0)
-            half = F.lower(F.regexp_extract(s, whole, k + 2)) if k > 0 else F.lit("")
+            half = F.lower(F.get(fields, F.lit(k + 1))) if k > 0 else F.lit("")
             h = F.when(half == "", h).otherwise(h % 12 + F.when(half == "pm", 12).otherwise(0))
             mi = n[1].try_cast("int") if k > 1 else F.lit(0)
             sec = n[2].try_cast("double") if k > 2 else F.lit(0.0)
-            ok = s.rlike(whole) & (h < 24) & (mi < 60) & (sec < 61)
+            ok = fields.isNotNull() & (h < 24) & (mi < 60) & (sec < 61)
             micros = F.round((h * 3600 + mi * 60 + sec) * 1_000_000).cast("long")
             got = F.when(ok, F.timestamp_add("MICROSECOND", micros, date.cast("timestamp_ntz")))
             out = got if out is None else F.coalesce(out, got)
+        out = c.keep(out)
         return out if tz == "UTC" else force_tz(Expr(lambda k: out), tz)(c)
 
     return f
@@ -251,7 +278,7 @@ def _any_order(c: Context, v: Column, orders: Any, tz: str = "UTC", truncated: i
     for name in sorted(names, key=len, reverse=True):
         date, clock = re.match(r"([ymd]+)(.*)", name).groups()
         clock = clock.lower()
-        out.append(_moments(date, clock)(c, v, tz, truncated, cutoff) if clock else _ordered(date, cutoff, v.cast("string")).cast("timestamp_ntz"))
+        out.append(_moments(date, clock)(c, v, tz, truncated, cutoff) if clock else _ordered(c, date, cutoff, v.cast("string")).cast("timestamp_ntz"))
     return F.coalesce(*out)
 
 
