@@ -160,17 +160,17 @@ def _matching(f: Frame, right: Any, by: Any, unmatched: str, how: str) -> Frame:
     y = tidy(right)
     keys = _by(f, y, by)
     f = f.placed()
-    other = _renamed(_unique(y, keys), y.columns)
+    other = _renamed(y.df.distinct() if how == "delete" else _unique(y, keys), y.columns)
+    gate = None
     if unmatched == "error":
         lone = _renamed(y.df, y.columns).join(f.df.select(*[E.quoted(k) for k in keys]).distinct(), _on(keys), "left_anti")
         gate = lone.agg(F.when(F.count(F.lit(1)) > 0, F.raise_error(F.lit("a key of y isn't in x")).cast("int")).alias(f"{E.HIDDEN}gate"))
-        other = other.crossJoin(gate)  # one row, which fails or not
     joined = f.df.join(other, _on(keys), "left_anti" if how == "delete" else "left")
+    if gate is not None:  # one row, which fails or not
+        joined = joined.crossJoin(gate).filter(F.col(f"{E.HIDDEN}gate").isNull()).drop(f"{E.HIDDEN}gate")
     if how == "delete":
         return f.but(df=joined)
     mark = F.col(f"{E.HIDDEN}y").isNotNull()
-    if unmatched == "error":
-        mark = mark & F.col(f"{E.HIDDEN}gate").isNull()
     out = []
     for c in f.df.columns:
         if c in y.columns and c not in keys:

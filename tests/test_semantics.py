@@ -84,6 +84,22 @@ def test_nearest_match(spark, how, want):
     assert values(x >> t.left_join(y, by=t.join_by(t.closest(getattr(t, how)("a", "b")))), "a", "b") == want
 
 
+def test_changes_by_key_check_their_keys(spark):
+    x = table(spark, "k long, v string", (1, "a"), (2, None), (None, "c"))
+    new = table(spark, "k long, v string", (2, "n"), (None, "m"))
+    assert values(x >> t.rows_patch(new, by="k"), "v") == ["a", "n", "c"]
+    assert values(x >> t.rows_update(new, by="k"), "v") == ["a", "n", "m"]
+    assert values(x >> t.rows_delete(new, by="k"), "k") == [1]
+    lone = table(spark, "k long, v string", (9, "z"))
+    for change in (t.rows_update, t.rows_patch, t.rows_delete):
+        with pytest.raises(Exception, match="isn't in x"):
+            values(x >> change(lone, by="k"), "k", "v")
+    with pytest.raises(Exception, match="in x already"):
+        values(x >> t.rows_insert(new, by="k"), "k")
+    with pytest.raises(Exception, match="repeat"):
+        values(x >> t.rows_update(table(spark, "k long, v string", (1, "p"), (1, "q")), by="k"), "v")
+
+
 def test_slices_by_group(spark):
     f = table(spark, "g long, x long", (2, 1), (1, 2), (2, 3), (None, 4), (1, 5))
     assert values(f >> t.group_by("g") >> t.slice_tail(n=1), "g", "x") == [(1, 5), (2, 3), (None, 4)]
