@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..frame import Frame, Key, tidy, verb
 from ..functions import expr as E
@@ -163,6 +164,61 @@ def _nearest(left: DataFrame, right: DataFrame, spec: JoinSpec, na_matches: str)
     return left, JoinSpec((*others, JoinCondition(value, "=", c.right, True)))
 
 
+def _position(c: Column, kind: T.DataType) -> tuple[str, Column] | None:
+    """What a type compares with, and a double that never falls where its values rise; null and
+    not-a-number apart. None of types without one."""
+    if isinstance(kind, T.FloatType):
+        return "float", c.cast("double")
+    if isinstance(kind, T.NumericType):
+        return "number", c.cast("double")
+    if isinstance(kind, T.DateType):
+        return "date", F.unix_date(c).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return "timestamp", F.unix_micros(c).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return "local", F.unix_date(c.cast("date")) * 86400e6 + F.hour(c) * 3600e6 + F.minute(c) * 60e6 + F.extract(F.lit("SECOND"), c).cast("double") * 1e6
+    return None
+
+
+def _range_join(left: DataFrame, other: DataFrame, spec: JoinSpec, test: Column) -> DataFrame | None:
+    """The inner join by a range without a key, as an equality of buckets; None if the conditions
+    have no range. Whatever pair meets left >= low and left <= high, the spans between each side's
+    two values intersect. A span's level is the power of 2 that its length fits in, and pairs
+    meet in buckets of the higher level of the two, in the first that both spans touch."""
+    low = next((c for c in spec.conditions if c.operator in (">", ">=")), None)
+    high = next((c for c in spec.conditions if c.operator in ("<", "<=")), None)
+    if spec.equality or any(c.operator == "=" or c.rolling for c in spec.conditions) or not (low and high):
+        return None
+    u, v = f"{E.HIDDEN}u_", f"{E.HIDDEN}v_"
+    ends = [(df, q, [_position(E.quoted(p + c), df.schema[p + c].dataType) for c in pair]) for df, p, q, pair in ((left, X, u, (low.left, high.left)), (other, Y, v, (low.right, high.right)))]
+    kinds = {at and at[0] for *_, pair in ends for at in pair}
+    if len(kinds) > 1 or None in kinds:
+        return None
+    sides = []
+    for df, p, pair in ends:
+        a, b = (F.least(F.greatest(at, F.lit(-1e300)), F.lit(1e300)) for _, at in pair)
+        spans = df.filter(pair[0][1].isNotNull() & pair[1][1].isNotNull()).withColumns({f"{p}from": F.least(a, b), f"{p}to": F.greatest(a, b)})
+        length = F.col(f"{p}to") - F.col(f"{p}from")
+        sides.append(spans.withColumn(f"{p}level", F.when(length > 0, F.ceil(F.log2(length)).cast("int"))))
+    found = [{r[0] for r in df.select(f"{p}level").distinct().collect()} for df, p in zip(sides, (u, v), strict=True)]  # some dozens
+    least = min((k for k in found[0] | found[1] if k is not None), default=0)
+    found = [sorted({least if k is None else k for k in levels}) for levels in found]
+    for i, p in enumerate((u, v)):
+        own = F.coalesce(F.col(f"{p}level"), F.lit(least))
+        higher = F.filter(F.array(*map(F.lit, found[1 - i])).cast("array<int>"), lambda k: k > F.col(f"{p}level"))
+        df = sides[i].withColumn(f"{p}level", own).withColumn(f"{p}at", F.explode(F.concat(F.array(f"{p}level"), higher)))
+        first, last = (F.floor(F.col(f"{p}{end}") / F.pow(F.lit(2.0), F.col(f"{p}at"))).cast("long") for end in ("from", "to"))
+        sides[i] = df.withColumn(f"{p}first", first).withColumn(f"{p}bucket", F.explode(F.sequence(f"{p}first", last)))
+    once = (F.col(f"{u}at") == F.greatest(f"{u}level", f"{v}level")) & (F.col(f"{u}bucket") == F.greatest(f"{u}first", f"{v}first"))
+    same = (F.col(f"{u}at") == F.col(f"{v}at")) & (F.col(f"{u}bucket") == F.col(f"{v}bucket"))
+    return sides[0].join(sides[1], same & once & test).select(*map(E.quoted, [*left.columns, *other.columns]))
+
+
+def _matches(left: DataFrame, other: DataFrame, spec: JoinSpec, test: Column) -> DataFrame:
+    found = _range_join(left, other, spec, test)
+    return left.join(other, test) if found is None else found
+
+
 def _guard(df: DataFrame, rows: list[str], test: Column, message: str) -> DataFrame:
     name = E.hidden("g")
     return df.withColumn(name, F.when(test, F.raise_error(F.lit(message)).cast("int"))).filter(F.col(name).isNull())
@@ -189,7 +245,7 @@ def _join(x: Frame, right: Any, how: str, by: Any = None, on: Any = None, suffix
         left, other, test = _closest_by_rank(left, other, spec, test, xo)
     checks = relationship in ("one-to-one", "one-to-many", "many-to-one") or unmatched == "error" or multiple != "all"
     if checks:
-        matched = left.join(other, test).select(*left.columns, *other.columns)
+        matched = _matches(left, other, spec, test).select(*left.columns, *other.columns)
         if relationship in ("one-to-one", "many-to-one"):
             matched = _several(matched, xo, "a row of x matches several rows of y")
         if relationship in ("one-to-one", "one-to-many"):
@@ -206,7 +262,7 @@ def _join(x: Frame, right: Any, how: str, by: Any = None, on: Any = None, suffix
             parts.append(_guard(lone, yo, F.lit(True), "a row of y has no match") if unmatched == "error" and how in ("inner", "left") else lone)
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     else:
-        df = left.join(other, test, kind)
+        df = _matches(left, other, spec, test) if kind == "inner" else left.join(other, test, kind)
     a, b = output_names(x.columns, y.columns, full, keep, suffix)
     out = []
     for c, name in a.items():

@@ -362,6 +362,13 @@ def _(T):
     return x >> t.inner_join(y, by=t.join_by(t.overlaps("lo", "hi", "start", "end"))) >> t.select("a", "b")
 
 
+@query("overlaps_join_whole", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_size <= b.p_size + 1 AND a.p_size + 1 >= b.p_size")
+def _(T):
+    x = T("part") >> t.transmute(a=col("p_partkey"), lo=col("p_size"), hi=col("p_size") + 1)
+    y = T("part") >> t.transmute(b=col("p_partkey"), start=col("p_size"), end=col("p_size") + 1)
+    return x >> t.inner_join(y, by=t.join_by(t.overlaps("lo", "hi", "start", "end"))) >> t.select("a", "b")
+
+
 def _halves(T):
     part = T("part") >> t.select("p_partkey", "p_brand", "p_size")
     return part >> t.filter(col("p_partkey") <= 120), part >> t.filter(col("p_partkey") > 80, col("p_partkey") <= 200)
