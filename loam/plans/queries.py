@@ -397,6 +397,38 @@ query("rows_upsert", f"SELECT a.p_partkey, p_brand, coalesce(b.p_size, a.p_size)
 )
 query("rows_delete", f"SELECT * FROM {PARTS[0]} WHERE p_partkey NOT IN (SELECT p_partkey FROM {NEW})")(lambda T: _halves(T)[0] >> t.rows_delete(_new(T), by="p_partkey", unmatched="ignore"))
 
+# The same verbs over whole tables: all parts against all parts with their sizes raised to 20 at least, and changes
+# for twice each key, half of which there are.
+
+WHOLE = "(SELECT p_partkey, p_brand, p_size FROM part)", "(SELECT p_partkey, p_brand, greatest(p_size, 20) AS p_size FROM part)"
+CHANGES = "(SELECT 2 * p_partkey AS p_partkey, 99 AS p_size FROM part)"
+FRESH = f"SELECT p_partkey, NULL, p_size FROM {CHANGES} WHERE p_partkey NOT IN (SELECT p_partkey FROM part)"
+CHANGED = f"SELECT a.p_partkey, p_brand, coalesce({{}}) AS p_size FROM part a LEFT JOIN {CHANGES} b ON a.p_partkey = b.p_partkey"
+
+
+def _part(T):
+    return T("part") >> t.select("p_partkey", "p_brand", "p_size")
+
+
+def _raised(T):
+    return _part(T) >> t.mutate(p_size=t.if_else(col("p_size") < 20, 20, col("p_size")))
+
+
+def _changes(T):
+    return T("part") >> t.transmute(p_partkey=col("p_partkey") * 2, p_size=t.lit(99))
+
+
+for _name, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("bind_rows", "UNION ALL"), ("intersect", "INTERSECT"), ("setdiff", "EXCEPT")):
+    query(f"{_name}_whole", f"SELECT * FROM {WHOLE[0]} {_op} SELECT * FROM {WHOLE[1]}")(lambda T, k=_name: _part(T) >> getattr(t, k)(_raised(T)))
+query("symdiff_whole", f"(SELECT * FROM {WHOLE[0]} EXCEPT SELECT * FROM {WHOLE[1]}) UNION (SELECT * FROM {WHOLE[1]} EXCEPT SELECT * FROM {WHOLE[0]})")(lambda T: _part(T) >> t.symdiff(_raised(T)))
+query("rows_update_whole", CHANGED.format("b.p_size, a.p_size"))(lambda T: _part(T) >> t.rows_update(_changes(T), by="p_partkey", unmatched="ignore"))
+query("rows_patch_whole", CHANGED.format("nullif(a.p_size, 7), b.p_size"))(lambda T: _part(T) >> t.mutate(p_size=t.na_if("p_size", 7)) >> t.rows_patch(_changes(T), by="p_partkey", unmatched="ignore"))
+query("rows_insert_whole", f"SELECT * FROM {WHOLE[0]} UNION ALL {FRESH}")(lambda T: _part(T) >> t.rows_insert(_changes(T), by="p_partkey", conflict="ignore"))
+query("rows_append_whole", f"SELECT * FROM {WHOLE[0]} UNION ALL SELECT p_partkey, NULL, p_size FROM {CHANGES}")(lambda T: _part(T) >> t.rows_append(_changes(T)))
+query("rows_upsert_whole", f"{CHANGED.format('b.p_size, a.p_size')} UNION ALL {FRESH}")(lambda T: _part(T) >> t.rows_upsert(_changes(T), by="p_partkey"))
+query("rows_delete_whole", f"SELECT * FROM {WHOLE[0]} WHERE p_partkey NOT IN (SELECT p_partkey FROM {CHANGES})")(lambda T: _part(T) >> t.rows_delete(_changes(T), by="p_partkey", unmatched="ignore"))
+
+
 
 # Missing data, grids, shapes.
 
