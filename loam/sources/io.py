@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +40,6 @@ def scan_parquet(source: Any, **options: Any) -> Frame:
 def scan_ipc(source: Any, **options: Any) -> Frame:
     """Arrow files, each read in a task of its own. Paths are those of a file system that all
     executors mount."""
-    import pyarrow as pa
     import pyarrow.ipc
 
     spark = _spark()
@@ -74,6 +77,33 @@ KINDS = {
 }
 
 
+def _after(lines: int) -> Any:
+    """Text and file of the lines past the first ones of each file. A file's blocks are read in
+    order within a task, so its first lines are the first of its block from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        whole: dict[str, bool] = {}
+        for batch in batches:
+            path, start, length, size = (batch.column(i) for i in range(1, 5))
+            first = start.to_numpy() == 0
+            new = np.ones(len(first), bool)
+            new[1:] = (first[1:] != first[:-1]) | pc.not_equal(path.slice(1), path.slice(0, len(path) - 1)).to_numpy(zero_copy_only=False) if len(first) else []
+            keep, runs = np.ones(len(first), bool), np.append(np.flatnonzero(new), len(first)).tolist()
+            for a, b in zip(runs[:-1], runs[1:], strict=True):
+                if first[a]:
+                    p = path[a].as_py()
+                    keep[a : min(b, a + max(lines - seen.get(p, 0), 0))] = False
+                    seen[p] = seen.get(p, 0) + b - a
+                    whole[p] = length[a].as_py() >= size[a].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column(0), path], names=["value", "p"]).filter(pa.array(keep))
+        for p, n in seen.items():
+            if n < lines and not whole[p]:
+                raise ValueError(f"the lines to skip go beyond the first block of {p}; raise spark.sql.files.maxPartitionBytes")
+
+    return run
+
+
 def _csv(source: Any, *, col_types: Any = None, na: Any = None, skip: int | None = None, comment: str | None = None, trim_ws: bool = False, id: str | None = None, encoding: str = "utf-8", strict: bool = False, locale: Any = None, delim: str | None = None, guess: bool, col_names: Any = True) -> Frame:
     if encoding.lower().replace("-", "") != "utf8":
         raise ValueError("only UTF-8 can be read")
@@ -85,9 +115,9 @@ def _csv(source: Any, *, col_types: Any = None, na: Any = None, skip: int | None
         # the header is the line after those skipped, of each file
         first = spark.read.text(_paths(source)[0]).limit(skip + 1).collect()[skip][0]
         names = [x.strip().strip('"') for x in first.split(delim or ",")]
-        whole = spark.read.text(_paths(source)).select("value", F.col("_metadata.file_path").alias("p"))
-        head = {r[0] for r in spark.read.text(_paths(source)[0]).limit(skip + 1).collect()}
-        df = whole.filter(~F.col("value").isin(list(head))).select(F.from_csv("value", ", ".join(f"`{x}` string" for x in names), {"sep": delim or ",", "quote": '"', "escape": '"'}).alias("r"), "p")
+        place = ("file_path", "file_block_start", "file_block_length", "file_size")
+        whole = spark.read.text(_paths(source)).select("value", *[F.col(f"_metadata.{c}") for c in place])
+        df = whole.mapInArrow(_after(skip + 1), "value string, p string").select(F.from_csv("value", ", ".join(f"`{x}` string" for x in names), {"sep": delim or ",", "quote": '"', "escape": '"'}).alias("r"), "p")
         df = df.select("r.*", *([F.col("p").alias(id)] if id else []))
         f = tidy(df)
     else:
