@@ -8,17 +8,20 @@ from html import unescape
 
 #: How HTML treats its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title noscript template svg math select option object audio video canvas iframe datalist".split())
+UNSEEN = frozenset("head title noscript template svg select option object audio video canvas iframe datalist".split())
+#: What a head can hold; anything else ends it.
+HEAD = frozenset("head html base basefont bgsound link meta title style script noscript noframes template".split())
 BLOCK = frozenset(
     "html body article section main div nav header footer aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre figure figcaption details summary address hgroup dialog menu search center hr button label legend".split()
 )
 CLOSED_BY = {
     "p": BLOCK - {"button", "label", "legend"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
-    "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}, "head": {"body"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"},
+    "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"},
 }
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<annotation(?:-xml)?\b[^>]*>.*?</annotation(?:-xml)?\s*>"  # what math says again for programs
     r"|<(script|style|textarea|title|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
@@ -65,6 +68,8 @@ def blocks(page: str, media: bool = False) -> list[Node]:
 
     def say(text: str) -> None:
         nonlocal linked
+        if nodes[stack[-1]].tag == "head" and text.strip():
+            close()
         if text and not unseen:
             if "&" in text:
                 text = unescape(text)
@@ -85,6 +90,8 @@ def blocks(page: str, media: bool = False) -> list[Node]:
         if tag is None:
             continue
         tag = tag.lower()
+        if nodes[stack[-1]].tag == "head" and not m[2] and tag not in HEAD:
+            close()
         if tag in VOID:
             if tag == "br":
                 parts.append(" ")
