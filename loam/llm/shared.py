@@ -21,21 +21,38 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own if that is unset."""
+    """The folder named in ``spark.checkpoint.dir``. If that is unset, one of our own, and on
+    a cluster, whose executors wouldn't see it, an error."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or OWN_FOLDER).rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, and a
-    lost executor costs no more than a reread. Spark's JVM removes it when it exits."""
+    lost executor costs no more than a reread. Spark's JVM removes it when it exits, or
+    dropped() before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that written() returned and that nothing reads any more."""
+    for table in tables:
+        place, files = _place(table.sparkSession, table._written)
+        files.delete(place, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from loam.llm.mixing import mix
 from loam.llm.quality_rules import host_verdicts, quality_rules
 from loam.llm.sharding import stratified_shards
 from loam.llm.substring_dedup import substring_dedup
-from loam.llm.words import Words, buffers, chunks, mix as spread
+from loam.llm.words import Substrings, Words, buffers, chunks, grams, mix as spread
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -410,3 +410,81 @@ def test_hashes_depend_on_words_alone():
     data, at = buffers(pa.chunked_array([["ab"], ["c"]]))
     assert bytes(data) == b"abc" and at.tolist() == [0, 2, 3]
     assert isinstance(words, Words)
+
+
+def thue_morse(n, a="a", b="b"):
+    """Words of equal length on which sums weighted by powers of an odd number agree."""
+    s = a
+    for _ in range(n):
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s
+
+
+@pytest.mark.parametrize("n", [6, 11])
+def test_words_that_defeat_linear_hashes_stay_apart(spark, n):
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    halves = [w.hashes(half=i) for i in (0, 1) for *_, w in chunks(pa.array([f"{one} {two}"]))]
+    assert all(h[0] != h[1] for h in halves)
+    rest = " ".join(f"w{i}" for i in range(20))
+    docs = frame(spark, [f"{one} {one} {one} {one}", f"{two} {two} {two} {two}", f"{rest} {one}", f"{rest} {two}"])
+    assert {r.doc_id: r.component_id for r in minhash_dedup(docs, percent=95).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+    assert [r.n_removed for r in sorted(substring_dedup(docs, window=21).collect())] == [0, 0, 0, 0]
+
+
+def test_halves_are_independent():
+    (*_, w), *_ = chunks(pa.array([" ".join(f"word{i}" for i in range(20_000))]))
+    for k in (1, 20):
+        one, two = (grams(w.hashes(half=i), k) for i in (0, 1))
+        bits = np.unpackbits((one ^ two).view(np.uint8)).mean()
+        assert abs(bits - 0.5) < 0.01
+        # equal low bits of the one say nothing about those of the other
+        same = (one[:-1] ^ one[1:]) & np.uint64(7) == 0
+        agree = ((two[:-1] ^ two[1:]) & np.uint64(7) == 0)[same].mean()
+        assert abs(agree - 1 / 8) < 0.03
+
+
+def test_substrings_and_grams_agree_with_words():
+    rng = np.random.default_rng(11)
+    data = rng.integers(97, 100, 300, dtype=np.uint8)
+    parts = Substrings(data)
+    for size in (1, 4, 8, 9, 16, 17, 63, 64, 65, 100):
+        start = np.arange(len(data) - size + 1)
+        assert (parts.hashes(start, size) == Words(data, start, start + size, np.array([0, len(start)])).hashes()).all()
+    h = rng.integers(0, 2**63, 40).astype(np.uint64)
+    for k in (1, 2, 3, 7, 8, 20, 40):
+        assert all(grams(h, k)[i] == grams(h[i : i + k], k)[0] for i in range(41 - k))
+
+
+def test_unlike_components_of_one_bucket(spark):
+    """Two groups share a passage, so that bands put members of both into one bucket; no pair
+    across them reaches 80 %. Small blocks; the answer is brute force's."""
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(60)]
+    texts = []
+    for g in range(2):
+        own = [f"g{g}x{i}" for i in range(25)]
+        for _ in range(40):
+            copy = shared + own
+            for _ in range(3):
+                copy[rng.randrange(len(copy))] = f"r{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    want, _ = near_brute(texts)
+    for block, shingles in ((1024, 1 << 20), (8, 1 << 20), (1024, 200)):
+        got = {r.doc_id: r.component_id for r in minhash_dedup(frame(spark, texts), block=block, shingles=shingles).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_long_passages_merge_over_nonbranching_paths(spark, seed):
+    """Copies of long passages, some entered or left in the middle, against brute force."""
+    rng = random.Random(seed)
+    long = [f"p{i}" for i in range(600)]
+    texts = [" ".join([*(f"u{d}x{i}" for i in range(rng.randint(0, 30))), *long[a:b], *(f"v{d}x{i}" for i in range(rng.randint(0, 30)))]) for d, (a, b) in enumerate([(0, 600), (100, 500), (0, 600), (100, 500), (250, 270), (250, 269), (599, 600)])]
+    first, gone = {}, {}
+    for d, text in enumerate(texts):
+        w = WORD.findall(text)
+        for s in range(len(w) - 19):
+            if first.setdefault(tuple(w[s : s + 20]), (d, s)) != (d, s):
+                gone.setdefault(d, set()).update(range(s, s + 20))
+    got = {r.doc_id: r.n_removed for r in substring_dedup(frame(spark, texts)).collect()}
+    assert got == {d: len(gone.get(d, ())) for d in range(len(texts))}
