@@ -29,19 +29,21 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or OWN_FOLDER).rstrip("/")
 
 
-def _place(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The path and its file system, as the cluster has them."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, and a
     lost executor costs no more than a reread. Spark's JVM removes it when it exits, or
-    dropped() before."""
+    dropped() before. ``by``: a column of few values, each of which gets its own files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    place, files = _place(spark, path)
+    to = df.write.option("compression", "zstd")
+    (to.partitionBy(by) if by else to).parquet(path)
+    place, files = file_system(spark, path)
     files.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
@@ -51,7 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Removes tables that written() returned and that nothing reads any more."""
     for table in tables:
-        place, files = _place(table.sparkSession, table._written)
+        place, files = file_system(table.sparkSession, table._written)
         files.delete(place, True)
 
 

@@ -81,17 +81,40 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_runs_compact_by_level_and_leave_decided_keys_out(spark):
-    runs = LineRuns(min_docs=3, fan_in=2)
+    runs = LineRuns(spark, min_docs=3, fan_in=2, buckets=3)
     batch = lambda keys: spark.createDataFrame([(k.encode(),) for k in keys], "key binary")
     runs.add(batch("aaab"))
     assert [len(x) for x in runs.levels] == [1]
     runs.add(batch("abbc"))
     assert [len(x) for x in runs.levels] == [0, 1]
-    stored = {bytes(r.key): r.n for r in runs.levels[1][0].collect()}
+    stored = {bytes(r.key): r.n for r in runs.read(runs.levels[1][0]).collect()}
     assert stored == {b"a": 3, b"b": 3, b"c": 1}  # a was decided before the second batch
     assert {bytes(r.key) for r in runs.decided().collect()} == {b"a", b"b"}
 
 
+def test_runs_are_read_without_shuffle_or_sort(spark):
+    runs = LineRuns(spark, min_docs=3, fan_in=9, buckets=3)
+    batch = lambda keys: spark.createDataFrame([(k.encode(),) for k in keys], "key binary")
+    runs.add(batch("aaab"))
+    runs.add(batch("abbc"))
+    with runs._merging():
+        plan = runs._summed(runs.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan
+
+
+def test_runs_of_an_earlier_call_count(spark, tmp_path):
+    folder = f"file://{tmp_path}/runs"
+    first = frame(spark, ["x\ny", "x\nz"])
+    second = frame(spark, ["x\nonly", "y\nz", "z"])
+    dedup = lambda docs: {r.doc_id: r.kept for r in line_dedup(docs, batches=2, with_text=True, runs=LineRuns(spark, min_docs=3, path=folder, buckets=2)).collect()}
+    assert dedup(first) == {0: "x\ny", 1: "x\nz"}
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]:
+        spark.sql(f"DROP TABLE {name}")  # as a new session has none
+    assert dedup(second) == {0: "only", 1: "y", 2: ""}  # x in 3 documents, z in 3, y in 2
+    with pytest.raises(ValueError, match="2 buckets"):
+        LineRuns(spark, min_docs=3, path=folder, buckets=5)
+
+
 # Near-duplicates
 
 
