@@ -3,7 +3,8 @@
 Forward filtering sums the weight of all ways to reach each place of the piece lattice;
 backward sampling then walks from the end, choosing each piece with its share of that
 sum. No piece crosses from a non-blank to a space, so the lattice falls apart into chunks
-(spaces and what follows them), and equal chunks of a batch share one forward pass. All
+(spaces and what follows them), and equal chunks of a batch share one forward pass, in which
+they fall apart again wherever no piece crosses. All
 chunks of a batch go through both passes together, as arrays. Every choice is drawn from
 a hash of the row's key and the place in the text: reruns, other partitions and lost
 executors change nothing.
@@ -70,6 +71,8 @@ def load(path: str = MODEL, sharpness: float = 0.5) -> Pieces:
             plain.append(i)
     if (byte < 0).any():
         raise ValueError("the model has no byte fallback, so decoding would lose text")
+    if any(b" " in x.lstrip(b" ") for i in plain if (x := raw[i])):
+        raise ValueError("a piece of the model crosses from a non-blank to a space")
     text = np.frombuffer(b"".join(raw), np.uint8)
     start = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
     rank = np.empty(n)
@@ -127,24 +130,32 @@ def _edges(p: Pieces, data: np.ndarray, until: np.ndarray) -> tuple[np.ndarray,
 def filtered(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Forward filtering of chunks that fill data. Returns the edges' lengths and pieces,
     sorted by where they end; for each, the share of the edges up to it among those that end
-    there; and the first edge that ends at each place."""
-    parts, firsts, a, edges = [], [], 0, 0
+    there; the first edge that ends at each place; and the places that no edge crosses."""
+    parts, firsts, cuts, a, edges = [], [], [], 0, 0
     while a < len(start):  # some chunks at a time, which stay in the processor's cache
         b = max(a + 1, int(np.searchsorted(end, start[a] + BLOCK, "right")))
         x, y = start[a], end[b - 1]
-        *part, first = _filter(p, data[x:y], start[a:b] - x, end[a:b] - x)
+        *part, first, cut = _filter(p, data[x:y], start[a:b] - x, end[a:b] - x)
         parts.append(part)
         firsts.append(first + edges)
+        cuts.append(cut + x)
         edges += len(part[0])
         a = b
     first = np.concatenate([[0], *firsts]).astype(np.int32)
-    return *(np.concatenate(x) for x in zip(*parts, strict=True)), first
+    return *(np.concatenate(x) for x in zip(*parts, strict=True)), first, np.concatenate(cuts)
 
 
 def _filter(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     fro, to, piece = _edges(p, data, np.repeat(end, end - start))
     order = np.argsort(to, kind="stable")
     fro, to, piece = fro[order], to[order], piece[order]
+    # All ways pass a place that no edge crosses, so the lattice falls apart there as well,
+    # and text without spaces doesn't make long chunks.
+    n = len(data) + 2
+    cut = np.cumsum(np.bincount(fro + 1, minlength=n) - np.bincount(to, minlength=n))[: len(data)] == 0
+    cut[start] = True
+    start = np.flatnonzero(cut)
+    end = np.append(start[1:], len(data))
     base = np.repeat(start, end - start)
     level = to - base[to - 1]
     if len(level) and level.max() < 1 << 16:
@@ -173,7 +184,7 @@ def _filter(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     upto[last] = 1
     first = np.zeros(len(data), np.int32)
     first[to[heads] - 1] = heads
-    return to - fro, piece, upto.astype(np.float32), first
+    return to - fro, piece, upto.astype(np.float32), first, start
 
 
 def sample(p: Pieces, data: np.ndarray, at: np.ndarray, keys: np.ndarray, share: bool = True) -> np.ndarray:
@@ -196,9 +207,13 @@ def sample(p: Pieces, data: np.ndarray, at: np.ndarray, keys: np.ndarray, share:
         which = of = np.arange(len(start))
     size = (end - start)[which]
     inner_end = np.cumsum(size)
-    lengths, pieces, upto, first = filtered(p, data[ranges(start[which], size)], inner_end - size, inner_end)
-    live, left, shift = np.arange(len(start)), inner_end[of], end - inner_end[of]
-    stop = (inner_end - size)[of]
+    lengths, pieces, upto, first, cuts = filtered(p, data[ranges(start[which], size)], inner_end - size, inner_end)
+    # every stretch between such places has a walk of its own, from its end
+    at_cut = np.searchsorted(cuts, inner_end - size)
+    n_cuts = np.searchsorted(cuts, inner_end) - at_cut
+    walk = ranges(at_cut[of], n_cuts[of])
+    live, left, stop = np.arange(len(walk)), np.append(cuts[1:], inner_end[-1])[walk], cuts[walk]
+    shift, text = np.repeat(end - inner_end[of], n_cuts[of]), np.repeat(text, n_cuts[of])
     origin = at[text]
     with np.errstate(over="ignore"):
         while len(live):
