@@ -2,8 +2,8 @@
 
 Parsing a page gives its texts and media references in order, as one array of structs in
 which positions, references and captions stay together. Payloads live in a table of their
-own, keyed by the digest that references name, and a join brings in what is read back from
-it, once for each digest whatever number of pages refer to it.
+own, keyed by the digest that references name. References leave their pages, a row each, a
+join brings in what is read back of their payloads, and they return to their positions.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from .shared import pick, written
 from .words import buffers, frugal
 
 ROW = 64
-ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
-ITEM_TYPE = "array<struct<position int, kind string, text string, digest string, caption string>>"
+ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("chars", pa.int64()), ("digest", pa.string()), ("caption", pa.string())])
+ITEM_TYPE = "array<struct<position int, kind string, text string, chars long, digest string, caption string>>"
+FIELDS = ("position", "kind", "text", "chars", "digest", "caption")
 SCHEME = "sha256:"
 
 
@@ -50,7 +51,7 @@ def sequence(page: str) -> list[dict]:
     out: list[dict] = []
 
     def add(kind: str, text: str | None, digest: str | None = None, caption: str | None = None) -> None:
-        out.append({"position": len(out), "kind": kind, "text": text, "digest": digest, "caption": caption})
+        out.append({"position": len(out), "kind": kind, "text": text, "chars": len(text) if kind == "text" else None, "digest": digest, "caption": caption})
 
     def show(x: Node, i: int, source: str, alt: str) -> None:
         caption = " ".join(captions.get(around(i, "figure"), ())) or alt or None
@@ -123,44 +124,74 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % ROW if raw else ROW)
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as pages with one picture each, which holds the text's bytes, and the picture."""
+def _texts(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Rows a:b of a batch and their texts, about ``size`` bytes at a time."""
+    data, at = buffers(batch.column(0))
+    whole = data.tobytes()
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + size, "right")) - 1)
+        yield a, b, [whole[at[i] : at[i + 1]] for i in range(a, b)]
+        a = b
+
+
+def _media(raw: bytes) -> list[bytes]:
+    """The payloads that a text's page shows: all of it, and its last 64 bytes."""
+    payload = padded(raw)
+    return [payload, payload[-ROW:]]
+
+
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Images of the payloads, keyed by their digests, each once in a task."""
+    seen: set[bytes] = set()
     for batch in batches:
-        data, at = buffers(batch.column(0))
-        whole = data.tobytes()
-        keys = batch.column(2).to_pylist()
-        a = 0
-        while a < len(keys):
-            n, pages, digests, images, b = [], [], [], [], a
-            while b < len(keys) and (b == a or at[b] - at[a] < 4 << 20):
-                raw = whole[at[b] : at[b + 1]]
-                payload = padded(raw)
-                digest = hashlib.sha256(payload).hexdigest()
-                n.append(len(raw))
-                digests.append(digest)
-                images.append(png(payload))
-                pages.append(f'<article><p>{html.escape(raw.decode())}</p><figure><img src="{SCHEME}{digest}" alt="text"><figcaption>document {keys[b]}</figcaption></figure></article>')
-                b += 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(images, pa.binary())],
-                names=["doc_id", "n_bytes", "html", "digest", "media"],
-            )
-            a = b
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in _texts(batch):
+            out = {}
+            for payload in (x for raw in texts for x in _media(raw)):
+                key = hashlib.sha256(payload)
+                if key.digest() not in seen:
+                    seen.add(key.digest())
+                    out[key.hexdigest()] = png(payload)
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.binary())], names=["digest", "media"])
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as pages: a paragraph for each line, the picture of the whole text half way, and
+    that of its end below."""
+
+    def figure(payload: bytes, caption: str) -> str:
+        return f'<figure><img src="{SCHEME}{hashlib.sha256(payload).hexdigest()}" alt="text"><figcaption>{caption}</figcaption></figure>'
+
     for batch in batches:
-        a = 0
-        pages = batch.column(0)
-        while a < len(pages):
-            items, size, b = [], 0, a
-            while b < len(pages) and (b == a or size < 4 << 20):
-                page = pages[b].as_py() or ""
-                size += len(page)
-                items.append(sequence(page))
-                b += 1
-            yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[1:]], pa.array(items, pa.list_(ITEM))], names=[str(i) for i in range(batch.num_columns)])
-            a = b
+        for a, b, texts in _texts(batch):
+            pages = []
+            for raw in texts:
+                lines = [f"<p>{html.escape(x)}</p>" for x in raw.decode().split("\n")]
+                whole, end = _media(raw)
+                half = (len(lines) + 1) // 2
+                pages.append("<article>" + "".join([*lines[:half], figure(whole, f"all {len(raw)} bytes"), *lines[half:], figure(end, "the last row")]) + "</article>")
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([len(x) for x in texts], pa.int64()), pa.array(pages, pa.string())], names=["doc_id", "n_bytes", "html"])
+
+
+def _parse(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = 0
+            pages = batch.column(0)
+            while a < len(pages):
+                items, size, b = [], 0, a
+                while b < len(pages) and (b == a or size < 4 << 20):
+                    page = pages[b].as_py() or ""
+                    size += len(page)
+                    found = sequence(page)
+                    if not with_text:
+                        found = [x | {"text": None} if x["kind"] == "text" else x for x in found]
+                    items.append(found)
+                    b += 1
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[1:]], pa.array(items, pa.list_(ITEM))], names=[str(i) for i in range(batch.num_columns)])
+                a = b
+
+    return run
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +210,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def interleaved(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The columns named in ``carry`` and items: the ordered sequence of each page.
+def interleaved(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id",), with_text: bool = True) -> DataFrame:
+    """The columns named in ``carry`` and items: the ordered sequence of each page, whose texts
+    are left out, but for their lengths, unless ``with_text``.
 
     Null and empty pages have no items. Rows are independent, so repeats and nulls in other
     columns change nothing; very long pages are parsed whole; an empty table gives an empty
@@ -188,24 +220,46 @@ def interleaved(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = (
     named = {f"c{i}": c for i, c in enumerate(carry)}
     table = pick(pages, html=html, **named)
     types = ", ".join(f"`{c.replace('`', '``')}` {table.schema[a].dataType.simpleString()}" for a, c in named.items())
-    return table.mapInArrow(frugal(_parse), f"{types}, items {ITEM_TYPE}" if types else f"items {ITEM_TYPE}")
+    return table.mapInArrow(frugal(_parse(with_text)), f"{types}, items {ITEM_TYPE}" if types else f"items {ITEM_TYPE}")
 
 
 def resolved(references: DataFrame, store: DataFrame) -> DataFrame:
     """references: digest and any columns; store: digest and media. Joins in what reading the
-    stored media back gives, once for each digest. Digests that the store lacks, null ones
-    among them, get nulls; copies in the store count as one. A digest that a third of the
-    references share is split by the join, both of whose sides are tables."""
+    stored media back gives. Digests that the store lacks, null ones among them, get nulls.
+    Stored copies of a digest are each read, and count as one: the join sees a digest once. A
+    digest that a third of the references share is split by the join, both of whose sides
+    are tables."""
     found = store.filter("digest IS NOT NULL").select("digest", "media").mapInArrow(frugal(_read), READ)
     return references.join(written(found.dropDuplicates(["digest"]), "media-features"), "digest", "left")
 
 
+def media_columns(pages: DataFrame, store: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id",), with_text: bool = True) -> DataFrame:
+    """The columns named in ``carry`` and items: the sequence of each page, as interleaved()
+    gives it, with one field more, stored: what reading the item's payload back from ``store``
+    (digest and media) gives; null for texts and for references that the store lacks.
+
+    Nulls, repeats, long pages and empty tables are as in interleaved() and resolved(): each
+    row has its own sequence, whatever ids it shares."""
+    table = pick(pages, html=html, **{f"c{i}": c for i, c in enumerate(carry)})
+    inner = tuple(f"c{i}" for i in range(len(carry)))
+    made = written(interleaved(table, carry=inner, with_text=with_text).withColumn("page", F.monotonically_increasing_id()), "sequences")
+    shown = made.select("page", F.inline(F.filter("items", lambda x: x["digest"].isNotNull()))).select("page", "position", "digest")
+    found = resolved(shown, store).filter("payload_bytes IS NOT NULL")
+    stored = F.struct(*[x.split()[0] for x in READ.split(", ")[1:]])
+    found = found.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("position", stored.alias("stored")))).alias("found"))  # of one page
+    joined = made.join(found, "page", "left")
+    items = F.transform("items", lambda x: F.struct(*[x[f].alias(f) for f in FIELDS], F.col("found")[x["position"]].alias("stored")))
+    return joined.select(*[F.col(a).alias(c) for a, c in zip(inner, carry, strict=True)], items.alias("items"))
+
+
 def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every text as a page with one picture of its bytes. The texts' UTF-8, with bytes 0 up to
-    a positive multiple of 64, are the samples of a lossless 8-bit grey PNG image in a table
-    keyed by their digest; the page's sequence refers to it, and a digest join resolves it.
+    """Every text as a page of its lines and two pictures, and as media. The text's UTF-8, with
+    bytes 0 up to a positive multiple of 64, are the samples of a lossless 8-bit grey PNG
+    image in a store keyed by digest, and so are its last 64 bytes; the page's sequence refers
+    to both, and a digest join resolves them.
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, and the picture's position and caption.
+    media_sha256, feature, the picture's position and caption, n_items and text_chars of the
+    page's sequence, and tail_sha256, the digest of the second picture's payload as read back.
 
     Null texts are empty ones, whose payload is 64 bytes 0. Ids are only passed on, so null
     and repeated ones get their own rows; equal texts share one digest and all values. Very
@@ -214,10 +268,10 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """
     table = pick(docs, text=text, doc_id=doc_id)
     kind = table.schema["doc_id"].dataType.simpleString()
-    made = table.select("text", "doc_id", F.col("doc_id").cast("string").alias("key"))
-    made = made.mapInArrow(frugal(_pages), f"doc_id {kind}, n_bytes long, html string, digest string, media binary")
-    made = interleaved(made, carry=("doc_id", "n_bytes", "digest", "media"))
-    shown = F.filter("items", lambda x: x["kind"] == "media")[0]
-    made = written(made.select("doc_id", "n_bytes", "media", F.col("digest").alias("key"), shown["digest"].alias("digest"), shown["position"].alias("position"), shown["caption"].alias("caption")), "media")
-    out = resolved(made.select("doc_id", "n_bytes", "digest", "position", "caption"), made.select(F.col("key").alias("digest"), "media"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    store = written(table.select("text").mapInArrow(frugal(_store), "digest string, media binary"), "media-store")
+    pages = table.mapInArrow(frugal(_pages), f"doc_id {kind}, n_bytes long, html string")
+    made = media_columns(pages, store, carry=("doc_id", "n_bytes"), with_text=False)
+    shown = F.filter("items", lambda x: x["kind"] == "media")
+    made = made.select("doc_id", "n_bytes", shown[0].alias("whole"), shown[1].alias("end"), F.size("items").alias("n_items"), F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["chars"], F.lit(0))).alias("text_chars"))
+    stored = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return made.select("doc_id", "n_bytes", *[f"whole.stored.{c}" for c in stored], "whole.position", "whole.caption", "n_items", "text_chars", F.col("end.stored.payload_sha256").alias("tail_sha256"))

@@ -14,7 +14,7 @@ from loam.llm import html_extraction, page_maker, pieces, toxicity
 from loam.llm.components import components
 from loam.llm.dom import blocks
 from loam.llm.line_dedup import LineRuns, line_dedup
-from loam.llm.media import interleaved, png, resolved, samples, sequence
+from loam.llm.media import interleaved, media_columns, png, resolved, samples, sequence, text_media
 from loam.llm.minhash_dedup import minhash_dedup
 from loam.llm.mixing import mix
 from loam.llm.quality_rules import host_verdicts, quality_rules
@@ -415,6 +415,73 @@ def test_images_are_lossless_and_digests_resolve_once(spark):
     assert got == {1: 64, 2: 64, 3: None, 4: None}
 
 
+def plain_pixels(image):
+    """The samples of an 8-bit grey PNG image without row filters, read without the operator."""
+    import struct
+    import zlib
+
+    at, packed = 8, b""
+    while at < len(image):
+        n, name = struct.unpack(">I4s", image[at : at + 8])
+        if name == b"IHDR":
+            width, height = struct.unpack(">II", image[at + 8 : at + 16])
+            assert image[at + 16 : at + 21] == bytes([8, 0, 0, 0, 0])
+        if name == b"IDAT":
+            packed += image[at + 8 : at + 8 + n]
+        at += n + 12
+    raw = zlib.decompress(packed)
+    return b"".join(raw[i * (width + 1) + 1 : (i + 1) * (width + 1)] for i in range(height))
+
+
+def test_text_media_equal_brute_force(spark, sf_dir):
+    import zlib
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    awkward = [(-1, None), (-2, ""), (-3, "x" * 64), (-4, "é" * 40 + "\n\n<b>&amp;"), (-5, "x" * 64)]
+    docs = docs.union(spark.createDataFrame(awkward, docs.schema))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in text_media(docs).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        raw = text.encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        image = png(payload)
+        assert plain_pixels(image) == payload
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        assert r.tail_sha256 == hashlib.sha256(payload[-64:]).hexdigest()
+        mean = sum(payload) / len(payload)
+        assert f"rows={len(payload) // 64};mean={mean:.6f};" in r.feature
+        lines = [" ".join(x.split()) for x in text.split("\n")]
+        assert r.n_items == sum(bool(x) for x in lines) + 2
+        assert r.position == sum(bool(x) for x in lines[: (len(lines) + 1) // 2])
+        assert r.caption == f"all {len(raw)} bytes"
+
+
+def test_references_return_to_their_positions(spark):
+    images = {hashlib.sha256(p).hexdigest(): png(p) for p in (bytes([i]) * 64 * (i + 1) for i in range(4))}
+    names = list(images)
+    rng = random.Random(13)
+    rows, want = [], {}
+    for i in range(30):
+        refs = [rng.choice([*names, "f" * 64]) for _ in range(rng.randint(0, 5))]
+        page = "".join(f"<p>text {k}</p><figure><img src='sha256:{d}'><figcaption>cap {i} {k}</figcaption></figure>" for k, d in enumerate(refs))
+        rows.append((i % 20, page, "kept"))
+        want.setdefault(i % 20, []).append([(f"cap {i} {k}", d, names.index(d) + 1 if d in images else None) for k, d in enumerate(refs)])
+    pages = spark.createDataFrame([*rows, (None, None, "kept")], "page_id long, html string, stored string")
+    store = spark.createDataFrame([*images.items(), (names[0], images[names[0]])], "digest string, media binary")
+    got = {}
+    for r in media_columns(pages, store, carry=("page_id", "stored")).collect():
+        assert [x["position"] for x in r["items"]] == list(range(len(r["items"])))
+        assert [x["text"] for x in r["items"] if x["kind"] == "text"] == [f"text {k}" for k in range(len(r["items"]) // 2)]
+        assert r.stored == "kept"
+        got.setdefault(r.page_id, []).append([(x["caption"], x["digest"], x["stored"] and x["stored"]["payload_bytes"] // 64) for x in r["items"] if x["kind"] == "media"])
+    assert got.pop(None) == [[]]
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+    assert media_columns(pages.filter("false"), store).collect() == []
+
+
 # Words
 
 
