@@ -51,9 +51,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return one.withColumn("target", target.cast("double")).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "loam") -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "loam", carry: tuple[str, ...] = ()) -> DataFrame:
     """Takes documents so that each source's words come near its target. Returns doc_id, size
-    (words), source_size, target and taken: the words that the mix takes, as often as whole
+    (words), the columns named in ``carry``, source_size, target and taken: the words that the mix takes, as often as whole
     documents are repeated, at most ``most`` times their size.
 
     Sources in the order of their code points, null last, have ``weights`` in turn and share
@@ -61,13 +61,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     takes the documents below the hash threshold once more, as many as fit.
 
     Null and empty texts have size 0 and are taken as nothing. Rows without a source are one
-    source. Rows without an id hash as if it were the empty text; rows that repeat an id
+    source; sources are few enough for one task to order them. Rows without an id hash as if it were the empty text; rows that repeat an id
     are taken alike. Ties of the whole hash are taken or left together. An empty table
     gives an empty result. Other columns are ignored.
     """
-    table = pick(docs, doc_id=doc_id, source=source, text=text)
+    named = {f"c{i}": c for i, c in enumerate(carry)}
+    table = pick(docs, doc_id=doc_id, source=source, text=text, **named)
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, DIGITS), 16, 10).cast("long")
-    table = written(table.select("doc_id", "source", key.alias("key"), word_count("text").alias("size")), "sizes")
+    table = written(table.select("doc_id", "source", key.alias("key"), word_count("text").alias("size"), *named), "sizes")
     sizes = table.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, share, most)
     rounds = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))
@@ -99,4 +100,4 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         ), "thresholds")
     out = table.join(state, same)
     times = F.col("rounds") + (F.col("key") < F.col("below")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.least(times, F.lit(most))).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.least(times, F.lit(most))).cast("long").alias("taken"), *[F.col(a).alias(c) for a, c in named.items()])

@@ -82,3 +82,39 @@ def test_pieces_decode_to_the_mixture(stages):
 
     want = Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in stages[4].collect())
     assert Counter((r.doc_id, r.text_sha256) for r in stages[5].collect()) == want
+
+
+AWKWARD = [
+    (1, "same line\nown words here", "en", "a", 9), (2, None, None, None, None), (3, "", "en", "b", 0), (4, " \t\n\x0b ", "de", None, 4), (5, "long " * 30_000, "en", "a", 1),
+    (None, "no id at all", "en", "a", 12), (None, None, None, None, None), (6, "twin row text", "en", "a", 13), (6, "twin row text", "en", "a", 13), (6, "twin of another source", "en", "b", 22),
+    *[(20 + i, f"same line\nfiller number {i}", "en", "c", 5) for i in range(10)],
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "TEXT", "id", "of", "times", "kept"]
+    return spark.createDataFrame([(*r, 1, 2, "x", 3, True) for r in AWKWARD], ", ".join(f"c{i} {t}" for i, t in enumerate("long string string string long int int string int boolean".split()))).toDF(*names)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in P.STAGES])
+def test_stages_on_awkward_and_empty_tables(name, spark, sf_dir, awkward):
+    stage = dict(P.STAGES)[name]
+    assert stage(spark, awkward.filter("false"), sf_dir).collect() == []
+    got = stage(spark, awkward, sf_dir).collect()
+    if name != "sampled pieces":
+        assert all(tuple(r.asDict()) == P.COLUMNS for r in got)
+    ids = Counter(r.doc_id for r in got)
+    if name == "line dedup":
+        assert ids == Counter(r[0] for r in AWKWARD)
+        text = {r.doc_id: r.text for r in got}
+        assert text[1] == "own words here" and text[2] == "" and text[25] == "filler number 5"
+    elif name == "mixing to target weights":
+        assert not {2, 3, 4} & set(ids)
+        words = {r[0]: len(r[1].split()) for r in AWKWARD if r[1]}
+        assert max(ids[i] for i in ids if i != 6) <= 2 and all(words[i] for i in ids)
+        twins = Counter((r.source, r.text) for r in got if r.doc_id == 6)
+        assert twins["a", "twin row text"] in (0, 2, 4) and twins["b", "twin of another source"] in (0, 1, 2)
+    else:
+        # words of no label score like clean ones; two rows without an id, and unlike texts, all stay
+        assert ids == Counter(r[0] for r in AWKWARD)

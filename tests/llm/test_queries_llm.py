@@ -101,3 +101,90 @@ def test_pages_and_awkward_pages(spark, sf_dir):
     assert [r.text for r in rows if r.page_id == 1] == [""]
     assert max(r.n_chars for r in rows) == len(" ".join(["word,"] * 20_000))
     assert extract(df.filter("false")).collect() == []
+
+
+SF01 = "/root/testdata/sf0.01"
+
+
+def test_held_out_toxic_documents(spark):
+    """op5 on whole tables: recall, and clean documents flagged, among labels never learnt."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF01}/labels.parquet").collect()}
+    rows = QUERIES["op5_toxicity"](spark, SF01).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+    toxic, clean = [p for y, p in held if y], [p for y, p in held if not y]
+    assert sum(toxic) / len(toxic) >= 0.6 and sum(clean) / len(clean) <= 0.06
+
+
+def test_scores_equal_plain_scores(spark, sf_dir):
+    """The score of each text, from the fitted model, by a search of all segments."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from loam.llm import toxicity as T
+    from loam.llm.words import chunks
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = T.fit(docs, labels, "doc_id", "text", "toxic", 20_000)
+    got = {r.doc_id: r.score for r in T.toxicity(docs, labels).collect()}
+
+    def maximal(x):
+        """All maximal segments: the best one, then those on both sides of it."""
+        if not len(x):
+            return []
+        height = np.concatenate(([0.0], np.cumsum(x)))
+        low = np.minimum.accumulate(height)
+        b = int(np.argmax(height - low))
+        if height[b] - low[b] <= 0:
+            return []
+        a = int(np.flatnonzero(height[: b + 1] == low[b])[-1])
+        return [*maximal(x[:a]), float(height[b] - height[a]), *maximal(x[b:])]
+
+    for r in docs.limit(150).collect():
+        ((*_, words),) = chunks(pa.array([r.text]))
+        x = T.walk(model.odds, words)
+        parts = [s for s in maximal(x) if model.rate * s > 1]
+        offset = math.log(model.scale) + math.log(max(len(x), 1))
+        if len(x):
+            surprise = [model.rate * s - offset for s in parts]
+            top = min(max(model.rate * max([s for s in maximal(x)], default=0.0) - offset, -10), 60)
+            total = model.rate * sum(parts)
+            feature = [top, math.log1p(sum(s for s in surprise if s >= -math.log(T.SIGNIFICANT))), math.log1p(total), math.log1p(100 * total / len(x)), math.log(len(x))]
+        else:
+            feature = [0.0] * 5
+        want = 1 / (1 + math.exp(-min(max(model.curve[0] + sum(w * f for w, f in zip(model.curve[1:], feature, strict=True)), -30), 30)))
+        assert math.isclose(got[r.doc_id], want, abs_tol=1e-6)
+
+
+def test_main_text_is_the_article(spark):
+    """op7 on the whole of pages: all that stands in their article element, blanks aside."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth = self.skip = 0
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.skip += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.skip -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.found.append(data)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF01}/pages.parquet").collect()}
+    got = QUERIES["op7_html_extraction"](spark, SF01).collect()
+    assert Counter(r.page_id for r in got) == Counter(pages.keys())
+    for r in got:
+        plain = Article()
+        plain.feed(pages[r.page_id] or "")
+        assert "".join(r.text.split()) == "".join("".join(plain.found).split())
+        assert r.n_chars == len(r.text) and r.text == r.text.strip()
