@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dom import Node, blocks
-from .shared import pick, written
+from .shared import dropped, pick, written
 from .words import buffers, frugal
 
 ROW = 64
@@ -271,6 +271,7 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     store = written(table.select("text").mapInArrow(frugal(_store), "digest string, media binary"), "media-store")
     pages = table.mapInArrow(frugal(_pages), f"doc_id {kind}, n_bytes long, html string")
     made = media_columns(pages, store, carry=("doc_id", "n_bytes"), with_text=False)
+    dropped(store)  # what was read back of it is written
     shown = F.filter("items", lambda x: x["kind"] == "media")
     made = made.select("doc_id", "n_bytes", shown[0].alias("whole"), shown[1].alias("end"), F.size("items").alias("n_items"), F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["chars"], F.lit(0))).alias("text_chars"))
     stored = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
