@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import pick, written
+from .shared import dropped, pick, written
 from .words import Words, chunks, frugal, grams, mix
 
 BITS = 2
@@ -257,14 +257,17 @@ def minhash_dedup(
         return out.filter(_like(total, long_words) >= floor).select("u", "v")
 
     def full(ids: DataFrame) -> DataFrame:
-        sets = table.join(ids.distinct(), "doc_id").select("doc_id", "text").mapInArrow(frugal(_sets(shingle)), "doc_id long, shingles binary")
+        ids = written(ids.distinct(), "wanted-ids")  # narrow, so Spark knows its size before it joins
+        sets = table.join(ids, "doc_id").select("doc_id", "text").mapInArrow(frugal(_sets(shingle)), "doc_id long, shingles binary")
         return written(sets, "shingle-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         sets = full(pairs.select(F.inline(F.array(F.struct(F.col("u").alias("doc_id")), F.struct(F.col("v").alias("doc_id"))))))
         held = pairs.join(sets.toDF("u", "s_u"), "u").join(sets.toDF("v", "s_v"), "v")
-        return written(held.select("u", "v", "s_u", "s_v").mapInArrow(frugal(_confirm(percent)), "u long, v long"), "links")
+        links = written(held.select("u", "v", "s_u", "s_v").mapInArrow(frugal(_confirm(percent)), "u long, v long"), "links")
+        dropped(pairs, sets)
+        return links
 
     def joined(links: DataFrame) -> DataFrame:
         return written(components(links).withColumnRenamed("node", "doc_id"), "components")
