@@ -89,7 +89,7 @@ def quarter(x: Any, type: str = "quarter", *, fiscal_start: int = 1) -> Expr:
     return Expr(build)
 
 
-UNITS = ("second", "minute", "hour", "day", "week", "month", "bimonth", "quarter", "season", "halfyear", "year")
+UNITS = ("second", "minute", "hour", "day", "week", "month", "bimonth", "quarter", "halfyear", "year")
 
 
 def _unit(unit: str) -> tuple[int, str]:
@@ -97,7 +97,9 @@ def _unit(unit: str) -> tuple[int, str]:
     n, name = (int(parts[0]), parts[1]) if len(parts) == 2 else (1, parts[0])
     name = name.rstrip("s") if name not in UNITS else name
     if name not in UNITS:
-        raise ValueError(f"no unit {unit!r}")
+        raise ValueError(f"no unit {unit!r}: one of {', '.join(UNITS)}")
+    if n < 1 or (n > 1 and name == "week"):
+        raise ValueError(f"no multiples {unit!r}")
     wide = {"bimonth": (2, "month"), "quarter": (3, "month"), "halfyear": (6, "month")}
     k, base = wide.get(name, (1, name))
     return n * k, base

@@ -275,10 +275,17 @@ def c_across(*selectors: Any) -> Columns:
     return Columns(selectors, rowwise=True)
 
 
+def _row_names(c: E.Context, cols: tuple) -> list[str]:
+    """The columns that selectors, or pick() of some, stand for; without any, the numbers."""
+    picked = [x for x in cols if isinstance(x, Columns)]
+    rest = [x for x in cols if not isinstance(x, Columns)]
+    names = [x for p in picked for x in p.find(c)]
+    return names + (resolve(_View(c), rest or (where(is_numeric),)) if rest or not picked else [])
+
+
 def row_sums(*cols: Any, na_rm: bool = False, min_count: int | None = None) -> E.Expr:
     def build(c: E.Context) -> Any:
-        names = resolve(_View(c), cols or (where(is_numeric),))
-        vs = [c.known(E.quoted(x)) for x in names]
+        vs = [c.known(E.quoted(x)) for x in _row_names(c, cols)]
         out = horizontal("sum", vs, na_rm)
         if min_count is not None:
             out = F.when(reduce(lambda a, b: a + b, [v.isNotNull().cast("long") for v in vs]) >= min_count, out)
@@ -289,7 +296,7 @@ def row_sums(*cols: Any, na_rm: bool = False, min_count: int | None = None) -> E
 
 def row_means(*cols: Any, na_rm: bool = False) -> E.Expr:
     def build(c: E.Context) -> Any:
-        vs = [c.known(E.quoted(x)) for x in resolve(_View(c), cols or (where(is_numeric),))]
+        vs = [c.known(E.quoted(x)) for x in _row_names(c, cols)]
         held = reduce(lambda a, b: a + b, [v.isNotNull().cast("long") for v in vs])
         return F.when(held > 0, horizontal("mean", vs, na_rm))
 

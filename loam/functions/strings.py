@@ -49,7 +49,7 @@ def boundary(type: str = "character") -> Pattern:
     return Pattern({"character": "(?s).", "word": r"(?U)\w+(?:['’]\w+)*"}[type])
 
 
-def pattern(p: Any) -> Pattern:
+def as_pattern(p: Any) -> Pattern:
     return p if isinstance(p, Pattern) else Pattern(str(p))
 
 
@@ -62,35 +62,35 @@ def _not(c: Column, negate: bool) -> Column:
     return ~c if negate else c
 
 
-def str_detect(string: Any, p: Any, negate: bool = False) -> Expr:
-    q = pattern(p)
+def str_detect(string: Any, pattern: Any, negate: bool = False) -> Expr:
+    q = as_pattern(pattern)
     return Expr(lambda c: _not(arg(string)(c).contains(q.text) if q.literal and not q.ignore_case else arg(string)(c).rlike(q.java()), negate))
 
 
-def str_starts(string: Any, p: Any, negate: bool = False) -> Expr:
-    q = pattern(p)
+def str_starts(string: Any, pattern: Any, negate: bool = False) -> Expr:
+    q = as_pattern(pattern)
     return Expr(lambda c: _not(arg(string)(c).startswith(q.text) if q.literal and not q.ignore_case else arg(string)(c).rlike(f"\\A(?:{q.java()})"), negate))
 
 
-def str_ends(string: Any, p: Any, negate: bool = False) -> Expr:
-    q = pattern(p)
+def str_ends(string: Any, pattern: Any, negate: bool = False) -> Expr:
+    q = as_pattern(pattern)
     return Expr(lambda c: _not(arg(string)(c).endswith(q.text) if q.literal and not q.ignore_case else arg(string)(c).rlike(f"(?:{q.java()})\\z"), negate))
 
 
-def str_count(string: Any, p: Any) -> Expr:
-    return Expr(lambda c: F.regexp_count(arg(string)(c), F.lit(pattern(p).java())).cast("long"))
+def str_count(string: Any, pattern: Any) -> Expr:
+    return Expr(lambda c: F.regexp_count(arg(string)(c), F.lit(as_pattern(pattern).java())).cast("long"))
 
 
-def str_like(string: Any, p: str, ignore_case: bool = False) -> Expr:
-    return Expr(lambda c: arg(string)(c).ilike(p) if ignore_case else arg(string)(c).like(p))
+def str_like(string: Any, pattern: str, ignore_case: bool = False) -> Expr:
+    return Expr(lambda c: arg(string)(c).ilike(pattern) if ignore_case else arg(string)(c).like(pattern))
 
 
-def str_ilike(string: Any, p: str) -> Expr:
-    return str_like(string, p, True)
+def str_ilike(string: Any, pattern: str) -> Expr:
+    return str_like(string, pattern, True)
 
 
 def _normal(c: Column) -> Column:
-    """Composed form; ASCII never leaves the JVM, as the plan takes the other branch."""
+    """Composed form, in batches of Arrow; every row of the column goes through Python."""
 
     @F.pandas_udf(T.StringType())
     def nfc(x: pd.Series) -> pd.Series:
@@ -164,7 +164,7 @@ def str_trunc(string: Any, width: int, side: str = "right", ellipsis: str = "...
 
 
 def word(string: Any, start: int = 1, end: int | None = None, sep: Any = None) -> Expr:
-    sep = pattern(sep if sep is not None else fixed(" "))
+    sep = as_pattern(sep if sep is not None else fixed(" "))
     end = start if end is None else end
 
     def build(c: Context) -> Column:
@@ -184,8 +184,8 @@ def _refs(replacement: str) -> str:
     return re.sub(r"\\(\d)", r"$\1", replacement.replace("$", r"\$"))
 
 
-def str_replace(string: Any, p: Any, replacement: str) -> Expr:
-    q = pattern(p)
+def str_replace(string: Any, pattern: Any, replacement: str) -> Expr:
+    q = as_pattern(pattern)
     # the text before the first match is group 1, so that only this match is replaced
     shifted = re.sub(r"\\(\d)", lambda m: f"${int(m[1]) + 1}", replacement.replace("$", r"\$") if not q.literal else java_dollar(replacement))
     body = q.java()
@@ -201,25 +201,25 @@ def java_dollar(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", r"\$")
 
 
-def str_replace_all(string: Any, p: Any, replacement: str | None = None) -> Expr:
-    pairs = list(p.items()) if isinstance(p, dict) else [(p, replacement)]
+def str_replace_all(string: Any, pattern: Any, replacement: str | None = None) -> Expr:
+    pairs = list(pattern.items()) if isinstance(pattern, dict) else [(pattern, replacement)]
 
     def build(c: Context) -> Column:
         v = arg(string)(c)
         for q, r in pairs:
-            q = pattern(q)
+            q = as_pattern(q)
             v = F.replace(v, F.lit(q.text), F.lit(r)) if q.literal and not q.ignore_case else F.regexp_replace(v, q.java(), java_dollar(r) if q.literal else _refs(r))
         return v
 
     return Expr(build)
 
 
-def str_remove(string: Any, p: Any) -> Expr:
-    return str_replace(string, p, "")
+def str_remove(string: Any, pattern: Any) -> Expr:
+    return str_replace(string, pattern, "")
 
 
-def str_remove_all(string: Any, p: Any) -> Expr:
-    return str_replace_all(string, p, "")
+def str_remove_all(string: Any, pattern: Any) -> Expr:
+    return str_replace_all(string, pattern, "")
 
 
 def str_replace_na(string: Any, replacement: str = "NA") -> Expr:
@@ -309,24 +309,24 @@ def str_wrap(string: Any, width: int = 80, indent: int = 0, exdent: int = 0, whi
     return Expr(lambda c: wrap(arg(string)(c)))
 
 
-def str_extract(string: Any, p: Any, group: int | None = None) -> Expr:
-    q = pattern(p).java()
+def str_extract(string: Any, pattern: Any, group: int | None = None) -> Expr:
+    q = as_pattern(pattern).java()
     if group is None:
         return Expr(lambda c: F.regexp_substr(arg(string)(c), F.lit(q)))
     return Expr(lambda c: F.when(arg(string)(c).rlike(q), F.regexp_extract(arg(string)(c), q, group)))
 
 
-def str_extract_all(string: Any, p: Any) -> Expr:
-    return Expr(lambda c: F.regexp_extract_all(arg(string)(c), F.lit(pattern(p).java()), F.lit(0)))
+def str_extract_all(string: Any, pattern: Any) -> Expr:
+    return Expr(lambda c: F.regexp_extract_all(arg(string)(c), F.lit(as_pattern(pattern).java()), F.lit(0)))
 
 
 def _groups(p: Pattern) -> int:
     return re.compile(re.sub(r"\\p\{\w+\}", "x", p.java())).groups
 
 
-def str_match(string: Any, p: Any) -> Expr:
+def str_match(string: Any, pattern: Any) -> Expr:
     """A struct: match, and group_1 on."""
-    q = pattern(p)
+    q = as_pattern(pattern)
 
     def build(c: Context) -> Column:
         v = arg(string)(c)
@@ -336,8 +336,8 @@ def str_match(string: Any, p: Any) -> Expr:
     return Expr(build)
 
 
-def str_match_all(string: Any, p: Any) -> Expr:
-    q = pattern(p)
+def str_match_all(string: Any, pattern: Any) -> Expr:
+    q = as_pattern(pattern)
 
     def build(c: Context) -> Column:
         parts = [F.regexp_extract_all(arg(string)(c), F.lit(q.java()), F.lit(i)).alias("match" if i == 0 else f"group_{i}") for i in range(_groups(q) + 1)]
@@ -346,8 +346,8 @@ def str_match_all(string: Any, p: Any) -> Expr:
     return Expr(build)
 
 
-def str_locate(string: Any, p: Any) -> Expr:
-    q = pattern(p).java()
+def str_locate(string: Any, pattern: Any) -> Expr:
+    q = as_pattern(pattern).java()
 
     def build(c: Context) -> Column:
         v = arg(string)(c)
@@ -357,9 +357,9 @@ def str_locate(string: Any, p: Any) -> Expr:
     return Expr(build)
 
 
-def str_locate_all(string: Any, p: Any) -> Expr:
+def str_locate_all(string: Any, pattern: Any) -> Expr:
 
-    q = re.compile(pattern(p).java())
+    q = re.compile(as_pattern(pattern).java())
 
     @F.pandas_udf("array<struct<start: bigint, end: bigint>>")
     def places(x: pd.Series) -> pd.Series:
@@ -375,24 +375,24 @@ def invert_match(loc: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return list(zip(starts, ends, strict=True))
 
 
-def str_split(string: Any, p: Any, n: int | None = None) -> Expr:
-    return Expr(lambda c: F.split(arg(string)(c), pattern(p).java(), n or -1))
+def str_split(string: Any, pattern: Any, n: int | None = None) -> Expr:
+    return Expr(lambda c: F.split(arg(string)(c), as_pattern(pattern).java(), n or -1))
 
 
-def str_split_fixed(string: Any, p: Any, n: int) -> Expr:
+def str_split_fixed(string: Any, pattern: Any, n: int) -> Expr:
     def build(c: Context) -> Column:
-        parts = F.split(arg(string)(c), pattern(p).java(), n)
+        parts = F.split(arg(string)(c), as_pattern(pattern).java(), n)
         return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(parts, i), F.when(parts.isNotNull(), F.lit(""))))
 
     return Expr(build)
 
 
-def str_split_i(string: Any, p: Any, i: int) -> Expr:
-    return Expr(lambda c: F.try_element_at(F.split(arg(string)(c), pattern(p).java()), F.lit(i)))
+def str_split_i(string: Any, pattern: Any, i: int) -> Expr:
+    return Expr(lambda c: F.try_element_at(F.split(arg(string)(c), as_pattern(pattern).java()), F.lit(i)))
 
 
-def str_split_1(string: str, p: Any) -> list[str]:
-    q = pattern(p)
+def str_split_1(string: str, pattern: Any) -> list[str]:
+    q = as_pattern(pattern)
     return string.split(q.text) if q.literal else re.split(q.java(), string)
 
 
@@ -476,17 +476,17 @@ def str_unique(string: list, ignore_case: bool = False) -> list:
     return list({(s.lower() if ignore_case and s is not None else s): s for s in reversed(string)}.values())[::-1]
 
 
-def str_subset(string: list, p: Any, negate: bool = False) -> list:
-    return [string[i - 1] for i in str_which(string, p, negate)]
+def str_subset(string: list, pattern: Any, negate: bool = False) -> list:
+    return [string[i - 1] for i in str_which(string, pattern, negate)]
 
 
-def str_which(string: list, p: Any, negate: bool = False) -> list[int]:
-    q = re.compile(pattern(p).java())
+def str_which(string: list, pattern: Any, negate: bool = False) -> list[int]:
+    q = re.compile(as_pattern(pattern).java())
     return [i + 1 for i, s in enumerate(string) if s is not None and bool(q.search(s)) != negate]
 
 
-def str_view(string: list, p: Any = None, match: bool = True) -> list:
-    q = re.compile(pattern(p).java()) if p is not None else None
+def str_view(string: list, pattern: Any = None, match: bool = True) -> list:
+    q = re.compile(as_pattern(pattern).java()) if pattern is not None else None
     return [s if q is None or s is None else q.sub(lambda m: f"<{m[0]}>", s) for s in string if q is None or s is None or bool(q.search(s)) == match]
 
 

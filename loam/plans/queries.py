@@ -355,49 +355,15 @@ def _(T):
     return errors >> t.left_join(bought, by=t.join_by("user_id", t.closest(t.ge("ts", "at")))) >> t.select("event_id", "last_id")
 
 
-@query("overlaps_join", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_size <= b.p_size + 1 AND a.p_size + 1 >= b.p_size WHERE a.p_partkey < 60 AND b.p_partkey < 60")
-def _(T):
-    x = T("part") >> t.filter(col("p_partkey") < 60) >> t.transmute(a=col("p_partkey"), lo=col("p_size"), hi=col("p_size") + 1)
-    y = T("part") >> t.filter(col("p_partkey") < 60) >> t.transmute(b=col("p_partkey"), start=col("p_size"), end=col("p_size") + 1)
-    return x >> t.inner_join(y, by=t.join_by(t.overlaps("lo", "hi", "start", "end"))) >> t.select("a", "b")
-
-
-@query("overlaps_join_whole", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_size <= b.p_size + 1 AND a.p_size + 1 >= b.p_size")
+@query("overlaps_join", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_size <= b.p_size + 1 AND a.p_size + 1 >= b.p_size")
 def _(T):
     x = T("part") >> t.transmute(a=col("p_partkey"), lo=col("p_size"), hi=col("p_size") + 1)
     y = T("part") >> t.transmute(b=col("p_partkey"), start=col("p_size"), end=col("p_size") + 1)
     return x >> t.inner_join(y, by=t.join_by(t.overlaps("lo", "hi", "start", "end"))) >> t.select("a", "b")
 
 
-def _halves(T):
-    part = T("part") >> t.select("p_partkey", "p_brand", "p_size")
-    return part >> t.filter(col("p_partkey") <= 120), part >> t.filter(col("p_partkey") > 80, col("p_partkey") <= 200)
-
-
-PARTS = "(SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey <= 120)", "(SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey > 80 AND p_partkey <= 200)"
-for _name, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("bind_rows", "UNION ALL"), ("intersect", "INTERSECT"), ("setdiff", "EXCEPT")):
-    query(_name, f"SELECT * FROM {PARTS[0]} {_op} SELECT * FROM {PARTS[1]}")(lambda T, k=_name: _halves(T)[0] >> getattr(t, k)(_halves(T)[1]))
-query("symdiff", f"(SELECT * FROM {PARTS[0]} EXCEPT SELECT * FROM {PARTS[1]}) UNION (SELECT * FROM {PARTS[1]} EXCEPT SELECT * FROM {PARTS[0]})")(lambda T: _halves(T)[0] >> t.symdiff(_halves(T)[1]))
 query("bind_cols", "SELECT r_regionkey, r_name, r_name AS again FROM region")(lambda T: T("region") >> t.arrange("r_regionkey") >> t.bind_cols(T("region") >> t.arrange("r_regionkey") >> t.select(again="r_name")))
-NEW = "(SELECT p_partkey, 99 AS p_size FROM part WHERE p_partkey BETWEEN 100 AND 140)"
-
-
-def _new(T):
-    return T("part") >> t.filter(col("p_partkey") >= 100, col("p_partkey") <= 140) >> t.transmute(p_partkey=col("p_partkey"), p_size=t.lit(99))
-
-
-query("rows_update", f"SELECT a.p_partkey, p_brand, coalesce(b.p_size, a.p_size) AS p_size FROM {PARTS[0]} a LEFT JOIN {NEW} b ON a.p_partkey = b.p_partkey")(lambda T: _halves(T)[0] >> t.rows_update(_new(T), by="p_partkey", unmatched="ignore"))
-query("rows_patch", f"SELECT a.p_partkey, p_brand, coalesce(nullif(a.p_size, 7), b.p_size) AS p_size FROM {PARTS[0]} a LEFT JOIN {NEW} b ON a.p_partkey = b.p_partkey")(
-    lambda T: _halves(T)[0] >> t.mutate(p_size=t.na_if("p_size", 7)) >> t.rows_patch(_new(T), by="p_partkey", unmatched="ignore")
-)
-query("rows_insert", f"SELECT p_partkey, p_brand, p_size FROM {PARTS[0]} UNION ALL SELECT p_partkey, NULL, p_size FROM {NEW} WHERE p_partkey > 120")(lambda T: _halves(T)[0] >> t.rows_insert(_new(T), by="p_partkey", conflict="ignore"))
-query("rows_append", f"SELECT p_partkey, p_brand, p_size FROM {PARTS[0]} UNION ALL SELECT p_partkey, NULL, p_size FROM {NEW}")(lambda T: _halves(T)[0] >> t.rows_append(_new(T)))
-query("rows_upsert", f"SELECT a.p_partkey, p_brand, coalesce(b.p_size, a.p_size) AS p_size FROM {PARTS[0]} a LEFT JOIN {NEW} b ON a.p_partkey = b.p_partkey UNION ALL SELECT p_partkey, NULL, p_size FROM {NEW} WHERE p_partkey > 120")(
-    lambda T: _halves(T)[0] >> t.rows_upsert(_new(T), by="p_partkey")
-)
-query("rows_delete", f"SELECT * FROM {PARTS[0]} WHERE p_partkey NOT IN (SELECT p_partkey FROM {NEW})")(lambda T: _halves(T)[0] >> t.rows_delete(_new(T), by="p_partkey", unmatched="ignore"))
-
-# The same verbs over whole tables: all parts against all parts with their sizes raised to 20 at least, and changes
+# Set operations and changes by key: all parts against all parts with their sizes raised to 20 at least, and changes
 # for twice each key, half of which there are.
 
 WHOLE = "(SELECT p_partkey, p_brand, p_size FROM part)", "(SELECT p_partkey, p_brand, greatest(p_size, 20) AS p_size FROM part)"
@@ -419,14 +385,14 @@ def _changes(T):
 
 
 for _name, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("bind_rows", "UNION ALL"), ("intersect", "INTERSECT"), ("setdiff", "EXCEPT")):
-    query(f"{_name}_whole", f"SELECT * FROM {WHOLE[0]} {_op} SELECT * FROM {WHOLE[1]}")(lambda T, k=_name: _part(T) >> getattr(t, k)(_raised(T)))
-query("symdiff_whole", f"(SELECT * FROM {WHOLE[0]} EXCEPT SELECT * FROM {WHOLE[1]}) UNION (SELECT * FROM {WHOLE[1]} EXCEPT SELECT * FROM {WHOLE[0]})")(lambda T: _part(T) >> t.symdiff(_raised(T)))
-query("rows_update_whole", CHANGED.format("b.p_size, a.p_size"))(lambda T: _part(T) >> t.rows_update(_changes(T), by="p_partkey", unmatched="ignore"))
-query("rows_patch_whole", CHANGED.format("nullif(a.p_size, 7), b.p_size"))(lambda T: _part(T) >> t.mutate(p_size=t.na_if("p_size", 7)) >> t.rows_patch(_changes(T), by="p_partkey", unmatched="ignore"))
-query("rows_insert_whole", f"SELECT * FROM {WHOLE[0]} UNION ALL {FRESH}")(lambda T: _part(T) >> t.rows_insert(_changes(T), by="p_partkey", conflict="ignore"))
-query("rows_append_whole", f"SELECT * FROM {WHOLE[0]} UNION ALL SELECT p_partkey, NULL, p_size FROM {CHANGES}")(lambda T: _part(T) >> t.rows_append(_changes(T)))
-query("rows_upsert_whole", f"{CHANGED.format('b.p_size, a.p_size')} UNION ALL {FRESH}")(lambda T: _part(T) >> t.rows_upsert(_changes(T), by="p_partkey"))
-query("rows_delete_whole", f"SELECT * FROM {WHOLE[0]} WHERE p_partkey NOT IN (SELECT p_partkey FROM {CHANGES})")(lambda T: _part(T) >> t.rows_delete(_changes(T), by="p_partkey", unmatched="ignore"))
+    query(_name, f"SELECT * FROM {WHOLE[0]} {_op} SELECT * FROM {WHOLE[1]}")(lambda T, k=_name: _part(T) >> getattr(t, k)(_raised(T)))
+query("symdiff", f"(SELECT * FROM {WHOLE[0]} EXCEPT SELECT * FROM {WHOLE[1]}) UNION (SELECT * FROM {WHOLE[1]} EXCEPT SELECT * FROM {WHOLE[0]})")(lambda T: _part(T) >> t.symdiff(_raised(T)))
+query("rows_update", CHANGED.format("b.p_size, a.p_size"))(lambda T: _part(T) >> t.rows_update(_changes(T), by="p_partkey", unmatched="ignore"))
+query("rows_patch", CHANGED.format("nullif(a.p_size, 7), b.p_size"))(lambda T: _part(T) >> t.mutate(p_size=t.na_if("p_size", 7)) >> t.rows_patch(_changes(T), by="p_partkey", unmatched="ignore"))
+query("rows_insert", f"SELECT * FROM {WHOLE[0]} UNION ALL {FRESH}")(lambda T: _part(T) >> t.rows_insert(_changes(T), by="p_partkey", conflict="ignore"))
+query("rows_append", f"SELECT * FROM {WHOLE[0]} UNION ALL SELECT p_partkey, NULL, p_size FROM {CHANGES}")(lambda T: _part(T) >> t.rows_append(_changes(T)))
+query("rows_upsert", f"{CHANGED.format('b.p_size, a.p_size')} UNION ALL {FRESH}")(lambda T: _part(T) >> t.rows_upsert(_changes(T), by="p_partkey"))
+query("rows_delete", f"SELECT * FROM {WHOLE[0]} WHERE p_partkey NOT IN (SELECT p_partkey FROM {CHANGES})")(lambda T: _part(T) >> t.rows_delete(_changes(T), by="p_partkey", unmatched="ignore"))
 
 
 
@@ -445,9 +411,9 @@ for _way, _order in (("down", "event_id"), ("up", "event_id DESC")):
         lambda T, w=_way: _gaps(T) >> t.arrange("event_id") >> t.fill("kind", direction=w, by="user_id") >> t.select("event_id", "kind")
     )
 query("expand", "SELECT s.o_orderstatus, p.o_orderpriority FROM (SELECT DISTINCT o_orderstatus FROM orders) s, (SELECT DISTINCT o_orderpriority FROM orders) p")(lambda T: T("orders") >> t.expand("o_orderstatus", "o_orderpriority"))
-query("complete", """WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY ALL)
-    SELECT a.c_nationkey, b.c_mktsegment, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT c_nationkey FROM c) a CROSS JOIN (SELECT DISTINCT c_mktsegment FROM c) b LEFT JOIN c ON a.c_nationkey = c.c_nationkey AND b.c_mktsegment = c.c_mktsegment""")(
-    lambda T: T("customer") >> t.filter(col("c_acctbal") > 9000) >> t.count("c_nationkey", "c_mktsegment") >> t.complete("c_nationkey", "c_mktsegment", fill={"n": 0})
+query("complete", """WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT a.l_returnflag, b.l_linestatus, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT l_returnflag FROM c) a CROSS JOIN (SELECT DISTINCT l_linestatus FROM c) b LEFT JOIN c ON a.l_returnflag = c.l_returnflag AND b.l_linestatus = c.l_linestatus""")(
+    lambda T: T("lineitem") >> t.count("l_returnflag", "l_linestatus") >> t.complete("l_returnflag", "l_linestatus", fill={"n": 0})
 )
 query("expand_nesting", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")(lambda T: T("customer") >> t.expand(t.nesting("c_nationkey", "c_mktsegment")))
 query("crossing", "SELECT a.r_name, b.x FROM region a, (SELECT unnest([1, 2]) AS x) b")(lambda T: t.crossing(T("region") >> t.select("r_name"), x=[2, 1, 2]) >> t.mutate(x=col("x").cast("int")))
@@ -635,7 +601,9 @@ query("fct_reorder2", "SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY arg
     lambda T: T("customer") >> t.mutate(c_mktsegment=t.fct_reorder2("c_mktsegment", "c_custkey", "c_acctbal")) >> t.count("c_mktsegment") >> t.transmute(c_mktsegment=col("c_mktsegment"), place=t.row_number())
 )
 query("adorn_pct", "SELECT c_mktsegment, count(*) AS n, printf('%.0f%%', round_even(100 * count(*) / sum(count(*)) OVER (), 0)) AS percent FROM customer GROUP BY ALL")(lambda T: T("customer") >> t.tabyl("c_mktsegment") >> t.adorn_pct_formatting(0))
-query("row_to_names", "SELECT 'x' AS a LIMIT 0")(lambda T: t.tidy({"p": ["a"]}) >> t.row_to_names(1))
+query("row_to_names", "SELECT n_name AS \"NATION_0\", n_comment AS header FROM (SELECT n_nationkey, n_name, 'c' AS n_comment FROM nation) WHERE n_nationkey > 0")(
+    lambda T: T("nation") >> t.arrange("n_nationkey") >> t.transmute(a=col("n_name"), b=t.if_else(col("n_nationkey") == 0, "header", "c")) >> t.row_to_names(1)
+)
 query("compare_df_cols", "SELECT 'r_name' AS column_name, 'character' AS df_1, NULL::VARCHAR AS df_2 UNION ALL SELECT 'r_regionkey', 'integer', NULL UNION ALL SELECT 'n_name', NULL, 'character' UNION ALL SELECT 'n_nationkey', NULL, 'integer' UNION ALL SELECT 'n_regionkey', NULL, 'integer'")(
     lambda T: t.compare_df_cols(T("region"), T("nation"))
 )
@@ -652,3 +620,175 @@ def _(T):
 
     out = sessions(T("events") >> t.mutate(ts=col("ts").cast("timestamp")), "ts", "2 hours", by=("user_id",), n=n())
     return t.tidy(out) >> t.count("user_id", name="sessions")
+
+
+# Readers and sinks, there and back.
+
+
+def _place(name):
+    """A new folder that all executors see, gone when Spark's JVM ends."""
+    import uuid
+
+    from ..sources.io import shared_folder
+
+    spark = SparkSession.active()
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+CUSTOMERS = "SELECT c_custkey::BIGINT AS c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"
+
+
+def _customers(T):
+    return T("customer") >> t.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+def _typed(f):
+    return f >> t.mutate(c_custkey=col("c_custkey").cast("bigint"), c_acctbal=col("c_acctbal").cast("double"))
+
+
+def _back(T, read, **options):
+    path = _place("customers")
+    _customers(T) >> t.write_csv(path, **options)
+    return _typed(read(path))
+
+
+query("write_csv_read_csv", CUSTOMERS)(lambda T: _back(T, t.read_csv))
+query("write_csv_scan_csv", CUSTOMERS)(lambda T: _back(T, t.scan_csv))
+query("read_tsv", CUSTOMERS)(lambda T: _back(T, t.read_tsv, sep="\t"))
+query("read_delim", CUSTOMERS)(lambda T: _back(T, lambda p: t.read_delim(p, "|"), sep="|"))
+
+
+@query("write_parquet_scan_parquet", CUSTOMERS)
+def _(T):
+    path = _place("customers")
+    _customers(T) >> t.write_parquet(path)
+    return _typed(t.scan_parquet(path))
+
+
+@query("compute", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL")
+def _(T):
+    return T("orders") >> t.select("o_custkey") >> t.compute() >> t.count("o_custkey")
+
+
+@query("collect_pull", "SELECT count(*)::BIGINT AS n, sum(n_nationkey)::BIGINT AS keys, max(n_name) AS last FROM nation")
+def _(T):
+    nation = T("nation") >> t.arrange("n_name")
+    keys = nation >> t.to_numpy(columns=["n_nationkey"], dtype="int64", order="c")
+    return t.tidy({"n": [len(nation >> t.collect("arrow"))], "keys": [int(keys.sum())], "last": [list(nation >> t.pull("n_name"))[-1]]})
+
+
+@query("dimensions", "SELECT count(*)::BIGINT AS rows, 5::BIGINT AS columns, 's_suppkey' AS first FROM supplier")
+def _(T):
+    f = T("supplier") >> t.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal") >> t.mutate(z=col("s_nationkey"))
+    assert t.dim(f) == (t.nrow(f), t.ncol(f)) and t.names(f) == t.colnames(f) == list(t.dtypes(f))
+    return t.tidy({"rows": [t.nrow(f)], "columns": [t.ncol(f)], "first": [t.names(f)[0]]})
+
+
+# Groups.
+
+query("summarize", "SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY ALL")(lambda T: T("orders") >> t.summarize(by="o_custkey", top=t.max("o_totalprice")))
+query("std", "SELECT o_orderstatus, floor(stddev_samp(o_totalprice) * 100 + 0.5) / 100 AS a FROM orders GROUP BY ALL")(lambda T: T("orders") >> t.summarise(by="o_orderstatus", a=money(t.std("o_totalprice"))))
+
+
+@query("group_facts", "SELECT n_regionkey, count(*)::BIGINT AS size, (SELECT count(DISTINCT n_regionkey) FROM nation)::BIGINT AS groups, list(n_nationkey + 1 ORDER BY n_nationkey)::BIGINT[] AS rows FROM nation GROUP BY ALL")
+def _(T):
+    g = T("nation") >> t.arrange("n_nationkey") >> t.group_by("n_regionkey")
+    keys = list(g >> t.group_keys() >> t.pull("n_regionkey"))
+    assert (g >> t.group_vars()) == (g >> t.groups()) == ["n_regionkey"]
+    indices = g >> t.group_indices()
+    size = g >> t.group_size()
+    assert [indices.count(i + 1) for i in range(len(keys))] == list(size)
+    return t.tidy({"n_regionkey": [int(k) for k in keys], "size": list(size), "groups": [g >> t.n_groups()] * len(keys), "rows": [list(r) for r in g >> t.group_rows()]})
+
+
+@query("group_split", "SELECT n_regionkey, max(n_name) AS last FROM nation GROUP BY ALL")
+def _(T):
+    parts = T("nation") >> t.arrange("n_nationkey") >> t.group_by("n_regionkey") >> t.group_split()
+    first, *rest = [p >> t.ungroup() >> t.summarise(by="n_regionkey", last=t.max("n_name")) for p in parts]
+    return first >> t.bind_rows(*rest)
+
+
+@query("group_map", "SELECT n_regionkey, count(*)::BIGINT AS n FROM nation GROUP BY ALL")
+def _(T):
+    seen = []
+    g = T("nation") >> t.group_by("n_regionkey")
+    g >> t.group_walk(lambda d, *k: seen.append(t.nrow(d)))
+    parts = g >> t.group_map(lambda d, *k: t.nrow(d))
+    assert sorted(seen) == sorted(parts)
+    keys = list(g >> t.group_keys() >> t.pull("n_regionkey"))
+    return t.tidy({"n_regionkey": [int(k) for k in keys], "n": [int(p) for p in parts]})
+
+
+# Selection.
+
+query("selector_patterns", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")(lambda T: T("customer") >> t.select(t.ends_with("key"), t.contains("NAME"), t.matches("^c_acct")))
+query("selector_ranges", "SELECT c_custkey, c_name, c_nationkey FROM customer")(lambda T: T("customer") >> t.select("c_custkey", "c_name", "c_nationkey", "c_acctbal") >> t.select(t.col_range("c_custkey", "c_nationkey")))
+query("selector_between", "SELECT c_name, c_nationkey FROM customer")(lambda T: T("customer") >> t.select("c_custkey", "c_name", "c_nationkey", "c_acctbal") >> t.select(t.cols_between("c_name", "c_nationkey")))
+query("selector_all_of", "SELECT c_mktsegment, c_custkey FROM customer")(lambda T: T("customer") >> t.select(t.all_of(["c_mktsegment", "c_custkey"])))
+query("selector_everything", "SELECT * FROM region")(lambda T: T("region") >> t.select(t.everything()))
+query("selector_num_range", "SELECT r_regionkey AS x1, r_regionkey * 2 AS x2 FROM region")(lambda T: T("region") >> t.transmute(x1=col("r_regionkey"), x2=col("r_regionkey") * 2, x10=col("r_regionkey") * 10) >> t.select(t.num_range("x", [1, 2])))
+query("selector_group_cols", "SELECT o_orderstatus, o_orderpriority FROM orders")(lambda T: T("orders") >> t.group_by("o_orderstatus", "o_orderpriority") >> t.select(t.group_cols()) >> t.ungroup())
+query("predicates_number", "SELECT l_orderkey, l_partkey FROM lineitem")(lambda T: T("lineitem") >> t.select("l_orderkey", "l_partkey", "l_tax", "l_returnflag") >> t.select(t.where(t.is_integer)))
+query("predicates_float", "SELECT l_tax FROM lineitem")(lambda T: T("lineitem") >> t.select("l_orderkey", "l_partkey", "l_tax", "l_returnflag") >> t.select(t.where(t.is_float)))
+query("predicates_string", "SELECT l_returnflag FROM lineitem")(lambda T: T("lineitem") >> t.select("l_orderkey", "l_partkey", "l_tax", "l_returnflag") >> t.select(t.where(t.is_string), t.where(t.is_character)))
+query("predicates_boolean", "SELECT o_totalprice > 1000 AS big FROM orders")(lambda T: T("orders") >> t.transmute(o_orderkey=col("o_orderkey"), big=col("o_totalprice") > 1000) >> t.select(t.where(t.is_boolean), t.where(t.is_bool)))
+query("predicates_time", "SELECT o_orderdate FROM orders")(lambda T: T("orders") >> t.select("o_orderkey", "o_orderdate") >> t.select(t.where(t.is_temporal)))
+query("pick", "SELECT o_custkey, o_orderkey, o_custkey + o_orderkey AS s FROM orders")(lambda T: T("orders") >> t.select("o_custkey", "o_orderkey") >> t.mutate(s=t.row_sums(t.pick("o_custkey", "o_orderkey"))))
+
+# Conditions and joins.
+
+columns("lineitem", "l_orderkey", {"name": "when_all", "a": "l_tax > 0.02 AND l_discount > 0.02", "b": "l_tax = 0"}, a=t.when_all(col("l_tax") > 0.02, col("l_discount") > 0.02), b=t.is_infinite(col("l_quantity") / col("l_tax")))
+query("equality_join_by", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda T: T("nation") >> t.inner_join(T("region"), by=t.join_by(t.eq("n_regionkey", "r_regionkey"))) >> t.select("n_name", "r_name"))
+query("le_gt_join", "SELECT a.s_suppkey, count(*) AS k FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal <= b.s_acctbal AND a.s_suppkey > b.s_suppkey GROUP BY ALL")(
+    lambda T: T("supplier") >> t.inner_join(T("supplier") >> t.select(n2="s_nationkey", b2="s_acctbal", k2="s_suppkey"), by=t.join_by(t.eq("s_nationkey", "n2"), t.le("s_acctbal", "b2"), t.gt("s_suppkey", "k2"))) >> t.count("s_suppkey", name="k")
+)
+query("setequal", "SELECT true AS same, false AS less")(lambda T: t.tidy({"same": [T("nation") >> t.setequal(T("nation") >> t.arrange(t.desc("n_name")))], "less": [T("nation") >> t.setequal(T("nation") >> t.filter(col("n_nationkey") > 3))]}))
+
+# Reshaping and reports.
+
+query("pivot_wider_spec", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY ALL")(
+    lambda T: (lambda c: c >> t.pivot_wider_spec(t.check_pivot_spec(t.build_wider_spec(c, names_from="o_orderstatus", values_from="n")), values_fill=0))(T("orders") >> t.count("o_custkey", "o_orderstatus"))
+)
+query("unnest_auto", "SELECT n_regionkey, n_name FROM nation")(lambda T: T("nation") >> t.select("n_regionkey", "n_name") >> t.chop("n_name") >> t.unnest_auto("n_name"))
+query("find_header", "SELECT 2::BIGINT AS row")(lambda T: t.tidy({"row": [t.tidy({"a": ["x", "id", "1"], "b": ["", "name", "z"]}) >> t.find_header(value="id")]}))
+query("compare_df_cols_same", "SELECT true AS a, false AS b")(lambda T: t.tidy({"a": [t.compare_df_cols_same(T("nation"), T("nation"), verbose=False)], "b": [t.compare_df_cols_same(T("nation"), T("nation") >> t.mutate(n_name=t.lit(1)), verbose=False)]}))
+query("make_clean_names", "SELECT unnest(['first_name', 'x_2', 'first_name_2']) AS name")(lambda T: t.tidy({"name": t.make_clean_names(["First Name", "x 2", "First.Name"])}))
+
+# Dates.
+
+columns("orders", "o_orderkey", {"name": "clock_parsers", "a": "date_trunc('minute', o_orderdate)", "b": "date_trunc('hour', o_orderdate)", "c": "date_trunc('second', o_orderdate)", "e": "date_trunc('hour', o_orderdate)", "f": "date_trunc('second', o_orderdate)", "g": "date_trunc('minute', o_orderdate)"},
+    a=t.ymd_hm(t.date_format(o, "%Y-%m-%d %H:%M")), b=t.ymd_h(t.date_format(o, "%Y/%m/%d %H")), c=t.mdy_hms(t.date_format(o, "%m/%d/%Y %H:%M:%S")), e=t.mdy_h(t.date_format(o, "%m-%d-%Y %H")), f=t.dmy_hms(t.date_format(o, "%d.%m.%Y %H:%M:%S")), g=t.dmy_hm(t.date_format(o, "%d/%m/%Y %H:%M")))
+columns("orders", "o_orderkey", {"name": "clock_periods", "a": "o_orderdate + INTERVAL 14 DAY", "b": "o_orderdate + INTERVAL 5 HOUR", "c": "o_orderdate + INTERVAL 90 MINUTE", "e": "o_orderdate - INTERVAL 30 SECOND", "f": "o_orderdate + INTERVAL 26 HOUR"},
+    a=col(o) + t.weeks(2), b=col(o) + t.hours(5), c=col(o) + t.minutes(90), e=col(o) - t.seconds(30), f=col(o) + t.period(days=1, hours=2))
+columns("orders", "o_orderkey", {"name": "add_with_rollback", "a": "o_orderdate + INTERVAL 1 MONTH"}, a=t.add_with_rollback(o, t.months(1)))
+columns("orders", "o_orderkey", {"name": "exact_durations", "a": "o_orderdate + INTERVAL 90 SECOND", "b": "o_orderdate + INTERVAL 36 HOUR", "c": "o_orderdate - INTERVAL 7 DAY", "e": "o_orderdate + INTERVAL 31557600 SECOND", "f": "o_orderdate + INTERVAL 2629800 SECOND"},
+    a=col(o) + t.dseconds(90), b=col(o) + t.ddays(1.5), c=col(o) - t.dweeks(1), e=col(o) + t.dyears(1), f=col(o) + t.dmonths(1))
+query("date_seq", "SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 1 WEEK))::DATE AS d")(lambda T: t.tidy({"d": list(t.date_seq(__import__("datetime").date(2024, 1, 1), __import__("datetime").date(2024, 3, 1), by="week"))}))
+
+# Factors and text.
+
+query("fct_lump_min", "SELECT CASE WHEN count(*) OVER (PARTITION BY o_orderstatus) >= 1000 THEN o_orderstatus ELSE 'Other' END AS s, o_orderkey FROM orders")(lambda T: T("orders") >> t.transmute(o_orderkey=col("o_orderkey"), s=t.fct_lump_min("o_orderstatus", 1000)))
+query("fct_drop_expand", "SELECT c_mktsegment AS s, count(*) AS n FROM customer GROUP BY ALL")(lambda T: T("customer") >> t.mutate(s=t.fct_drop(t.fct_expand(t.as_factor("c_mktsegment"), "NONE"))) >> t.count("s"))
+query("fct_na_level_to_value", "SELECT nullif(o_orderstatus, 'P') AS s, count(*) AS n FROM orders GROUP BY ALL")(lambda T: T("orders") >> t.mutate(s=t.fct_na_level_to_value("o_orderstatus", "P")) >> t.count("s"))
+columns("part", "p_partkey", {"name": "str_pattern_kinds", "a": "contains(lower(p_name), 'an')", "b": "regexp_matches(lower(p_name), '^[a-m]')", "c": "length(p_name)::BIGINT", "e": "len(string_split(p_name, ' '))::BIGINT", "f": "string_split(p_name, ' ')", "g": "p_size::VARCHAR", "h": "p_size::DOUBLE"},
+    a=t.str_detect(x, pattern=t.coll("AN", ignore_case=True)), b=t.str_detect(x, pattern=t.regex("^[A-M]", ignore_case=True)), c=t.str_count(x, pattern=t.boundary("character")), e=t.str_count(x, pattern=r"\S+"), f=t.str_split(x, pattern=" "), g=t.as_string("p_size"), h=t.as_numeric(t.as_string("p_size")))
+columns("part", "p_partkey", {"name": "str_keywords", "a": "regexp_replace(p_name, '[aeiou]', '-')", "b": "p_name LIKE '%re%'", "c": "regexp_extract_all(p_name, '[aeiou]')", "e": "upper(p_name[1]) || p_name[2:]"},
+    a=t.str_replace(x, pattern="[aeiou]", replacement="-"), b=t.str_like(x, pattern="%re%"), c=t.str_extract_all(x, pattern="[aeiou]"), e=t.str_c(t.str_to_upper(t.str_sub(x, 1, 1)), t.str_sub(x, 2)))
+query("str_flatten_last", "SELECT n_regionkey, string_agg(n_name, '/' ORDER BY n_nationkey) AS names FROM nation GROUP BY ALL")(lambda T: T("nation") >> t.arrange("n_nationkey") >> t.group_by("n_regionkey") >> t.summarise(names=t.str_flatten("n_name", "/")))
+
+
+@query("str_vectors", "SELECT n_name, CAST(row_number() OVER (ORDER BY n_name) AS BIGINT) AS place, contains(n_name, 'AN') AS has FROM nation")
+def _(T):
+    names = list(T("nation") >> t.pull("n_name"))
+    ordered = t.str_sort(names)
+    assert ordered == [names[i - 1] for i in t.str_order(names)] and sorted(t.str_unique(names + names)) == sorted(names)
+    some = t.str_subset(ordered, pattern="AN")
+    assert some == [ordered[i - 1] for i in t.str_which(ordered, pattern="AN")]
+    return t.tidy({"n_name": ordered, "place": list(range(1, len(ordered) + 1)), "has": [n in some for n in ordered]})
+
+
+query("str_glue_data", "SELECT unnest(['a is 1', 'b is 2']) AS s")(lambda T: t.tidy({"s": t.str_glue_data({"k": ["a", "b"], "v": [1, 2]}, "{k} is {v}")}))
+query("str_split_1", "SELECT unnest(['a', 'b', 'c']) AS s")(lambda T: t.tidy({"s": t.str_split_1("a,b,c", ",")}))

@@ -225,10 +225,25 @@ def write_excel(f: Frame, /, path: Any, *, worksheet: str = "Sheet1", sheets: di
 
 
 @verb
-def collect(f: Frame, /, as_: str = "pandas", *, columns: Any = None, **_: Any) -> Any:
-    """The rows in order: pandas, arrow, rows or numpy."""
+def collect(f: Frame, /, as_: str = "pandas", *, columns: Any = None, arrow_backed: bool = False, engine: str = "auto", dtype: Any = None, order: str = "fortran", writable: bool = False, allow_copy: bool = True) -> Any:
+    """The rows in order: pandas (``arrow_backed`` or not), arrow, rows or numpy (of ``dtype``,
+    in ``order``). Spark is the only engine, so ``engine`` is "auto"; rows that come from it are
+    always copies, so ``allow_copy`` can't be False."""
     from ..functions.select import resolve
 
+    if as_ not in ("pandas", "arrow", "rows", "numpy"):
+        raise ValueError(f"as_ is 'pandas', 'arrow', 'rows' or 'numpy', not {as_!r}")
+    if engine != "auto":
+        raise ValueError(f"no engine {engine!r}: Spark runs every plan")
+    if not allow_copy:
+        raise ValueError("rows collected from Spark are copies")
+    if order not in ("fortran", "c"):
+        raise ValueError("order is 'fortran' or 'c'")
+    if as_ != "numpy" and (dtype is not None or writable):
+        raise ValueError("dtype and writable are for as_='numpy'")
+    if arrow_backed and as_ != "pandas":
+        raise ValueError("arrow_backed is for as_='pandas'")
+
     df = f.to_spark(sort=True)
     if columns is not None:
         df = df.select(*[E.quoted(c) for c in resolve(f, columns if isinstance(columns, (list, tuple)) else [columns])])
@@ -239,23 +254,38 @@ def collect(f: Frame, /, as_: str = "pandas", *, columns: Any = None, **_: Any)
     if as_ == "numpy":
         import numpy as np
 
-        return np.column_stack([c.to_numpy(zero_copy_only=False) for c in df.toArrow().columns])
+        out = np.array(np.column_stack([c.to_numpy(zero_copy_only=False) for c in df.toArrow().columns]), dtype=dtype, order="F" if order == "fortran" else "C")
+        out.flags.writeable = writable
+        return out
+    if arrow_backed:
+        import pandas as pd
+
+        return df.toArrow().to_pandas(types_mapper=pd.ArrowDtype)
     return df.toPandas()
 
 
 @verb
-def to_numpy(f: Frame, /, *, columns: Any = None, dtype: Any = None, order: str = "fortran", **_: Any) -> Any:
-    import numpy as np
+def to_numpy(f: Frame, /, *, columns: Any = None, dtype: Any = None, order: str = "fortran", writable: bool = False, allow_copy: bool = True, engine: str = "auto") -> Any:
+    return collect(as_="numpy", columns=columns, dtype=dtype, order=order, writable=writable, allow_copy=allow_copy, engine=engine)(f)
+
 
-    return np.asarray(collect(as_="numpy", columns=columns)(f), dtype=dtype, order="F" if order == "fortran" else "C")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``. If that is unset, one of our own, and on
+    a cluster, whose executors wouldn't see it, an error."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or "/tmp/checkpoints/loam").rstrip("/")
 
 
 @verb
-def compute(f: Frame, /, **_: Any) -> Frame:
+def compute(f: Frame, /, *, engine: str = "auto") -> Frame:
     """Runs the plan now and goes on from a checkpoint in the shared folder."""
+    if engine != "auto":
+        raise ValueError(f"no engine {engine!r}: Spark runs every plan")
     spark = f.df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints/loam")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return f.but(df=f.df.checkpoint())
 
 
@@ -274,8 +304,16 @@ def glimpse(f: Frame, /, n: int = 10) -> Frame:
 
 
 @verb
-def view(f: Frame, /, *, n: int = 10_000, **_: Any) -> Any:
-    return f.to_spark(sort=True).limit(n).toPandas()
+def view(f: Frame, /, *, n: int = 10_000, digits: int | None = None, hide: Any = None) -> Any:
+    """The first ``n`` rows as pandas, numbers rounded to ``digits``, without the columns of
+    ``hide``. There is no explorer, and so no height and no live view."""
+    from ..functions.select import resolve
+
+    df = f.to_spark(sort=True).limit(n)
+    if hide is not None:
+        df = df.drop(*resolve(f, hide if isinstance(hide, (list, tuple)) else [hide]))
+    out = df.toPandas()
+    return out if digits is None else out.round(digits)
 
 
 class Options:

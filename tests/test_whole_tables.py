@@ -17,6 +17,6 @@ def test_all_parts_take_part(spark, name):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     n, k = part.count(), part.filter("p_size < 20").count()
     assert n == 2000 and part.agg({"p_partkey": "max"}).first()[0] == n - 1
-    got = QUERIES[f"{name}_whole"](spark, sf_dir)
+    got = QUERIES[name](spark, sf_dir)
     assert got.count() == ROWS[name](n, k)
     assert got.filter("p_partkey > 200").count() > 0
