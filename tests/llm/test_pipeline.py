@@ -51,7 +51,7 @@ def test_one_of_each_group_stays(stages):
     sets = {}
     for i, r in before.items():
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text))
-        sets[i] = {tuple(w[j : j + 4]) for j in range(len(w) - 3)} or ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
     root = {i: i for i in sets}
 
     def find(i):
