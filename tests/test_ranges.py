@@ -5,8 +5,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from loam import api as t
+from loam.operators import joins
 from loam.plans.queries import QUERIES
 
 
@@ -63,3 +65,24 @@ def test_extreme_values_and_names_of_range_columns(spark):
     out = t.tidy(left) >> t.inner_join(right, by=t.join_by(t.overlaps("from", "bucket", "first", "to"))) >> t.select("level", "at")
     want = left.join(right, (left["from"] <= right["to"]) & (left["bucket"] >= right["first"])).select("level", "at")
     assert sorted(map(tuple, out.to_spark().collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tasks_share_the_pairs_of_a_crowded_bucket(spark):
+    left, right = spark.range(40_000, numPartitions=1).selectExpr("id a", "7 lo", "8 hi"), spark.range(500, numPartitions=1).selectExpr("id b", "8 start", "9 end")
+    out = (t.tidy(left) >> t.inner_join(right, by=t.join_by(t.overlaps("lo", "hi", "start", "end"))) >> t.select("a", "b")).to_spark()
+    shares = [(r["n"], r["a"], r["b"]) for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).collect()]
+    assert [sum(x) for x in zip(*shares, strict=True)] == [20_000_000, 500 * sum(range(40_000)), 40_000 * sum(range(500))]
+    assert len(shares) > 1 and max(n for n, *_ in shares) < 0.7 * 20_000_000
+
+
+@pytest.mark.parametrize("name", list(RANGES))
+@pytest.mark.parametrize("task_pairs", [2000, 2**24])
+def test_blocks_hold_each_pair_once(spark, monkeypatch, name, task_pairs):
+    monkeypatch.setattr(joins, "BLOCK", 20)
+    monkeypatch.setattr(joins, "TASK_PAIRS", task_pairs)
+    r = random.Random(name)
+    x, y = ([(i, *sorted((r.choice([1, 1, 1, 2, 3, 60]), r.choice([1, 1, 2, 3, 90])))) for i in range(n)] for n in (150, 90))
+    by, holds = RANGES[name]
+    left, right = spark.createDataFrame(x, "i int, a int, b int"), spark.createDataFrame(y, "j int, c int, d int")
+    out = t.tidy(left) >> t.inner_join(right, by=t.join_by(by)) >> t.select("i", "j")
+    assert Counter(map(tuple, out.to_spark().collect())) == Counter((i, j) for i, *p in x for j, *q in y if holds(*p, *q))
