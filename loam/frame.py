@@ -27,6 +27,12 @@ class Key:
         c = E.quoted(self.column)
         return c.desc_nulls_last() if self.down else c.asc_nulls_last()
 
+    def rising(self, df: DataFrame) -> list[Column] | None:
+        """Columns that rise, the first before the next, as this part falls or rises; None of types without such."""
+        c = E.quoted(self.column)
+        parts = E.falling(c, df.schema[self.column].dataType) if self.down else [c]
+        return parts and [c.isNull(), *parts]
+
 
 @dataclass(frozen=True, eq=False)
 class Frame:
@@ -66,7 +72,8 @@ class Frame:
     def context(self, groups: tuple[str, ...] | None = None, aggregate: bool = False) -> E.Context:
         me = self.placed()
         keys = [k.sort() for k in me.order]
-        place = me.order[0].column if len(me.order) == 1 and not me.order[0].down else None
+        parts = [k.rising(me.df) for k in me.order]
+        place = [E.quoted(me.order[0].column)] if len(parts) == 1 and not me.order[0].down else [x for p in parts for x in p] if all(parts) else None
         return E.Context(me.df, self.groups if groups is None else groups, keys, place, aggregate, self.rowwise, self.levels)
 
     def placed(self) -> Frame:

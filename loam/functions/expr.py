@@ -30,11 +30,30 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def falling(c: Column, kind: T.DataType) -> list[Column] | None:
+    """Columns that rise where c falls; None of types without such."""
+    if isinstance(kind, T.IntegralType):
+        return [F.bitwise_not(c)]
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return [~F.isnan(c), -c]
+    if isinstance(kind, T.DecimalType):
+        return [-c]
+    if isinstance(kind, T.BooleanType):
+        return [~c]
+    if isinstance(kind, T.DateType):
+        return [F.bitwise_not(F.unix_date(c))]
+    if isinstance(kind, T.TimestampType):
+        return [F.bitwise_not(F.unix_micros(c))]
+    if kind in (T.StringType(), T.BinaryType()):  # other digits, and of two that begin alike the longer first
+        return [F.concat(F.translate(F.hex(c.cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))]
+    return None
+
+
 class Context:
-    """Where an expression is evaluated. order: sort Columns of the rows; place: one column
-    that rises with the rows, if there is one."""
+    """Where an expression is evaluated. order: sort Columns of the rows; place: columns
+    that together rise with the rows, if there are such."""
 
-    def __init__(self, df: DataFrame, groups: Iterable[str] = (), order: Iterable[Column] = (), place: str | None = None, aggregate: bool = False, rowwise: bool = False, levels: dict | None = None):
+    def __init__(self, df: DataFrame, groups: Iterable[str] = (), order: Iterable[Column] = (), place: list[Column] | None = None, aggregate: bool = False, rowwise: bool = False, levels: dict | None = None):
         self.df, self.groups, self.order, self.place = df, list(groups), list(order), place
         self.aggregate, self.rowwise, self.levels = aggregate, rowwise, levels or {}
         self.problems: list = []
@@ -80,7 +99,7 @@ class Context:
     def position(self) -> Column:
         """A column that rises with the rows."""
         if self.place:
-            return F.col(self.place)
+            return self.place[0] if len(self.place) == 1 else F.struct(*[c.alias(f"p{i}") for i, c in enumerate(self.place)])
         w = Window.partitionBy(*[quoted(g) for g in self.groups]).orderBy(*(self.order or [F.monotonically_increasing_id()]))
         return self.keep(F.row_number().over(w))
 

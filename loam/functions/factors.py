@@ -53,8 +53,13 @@ def _sorted_levels(c: Context, v: Column) -> tuple[str, ...]:
 
 
 def _appearance(c: Context, v: Column) -> list[str]:
-    at = c.position()
-    return [r[0] for r in sorted(_values(c, v, F.min(at).alias("at")), key=lambda r: r[2])]
+    """No sort of the rows: the least of the last part within each level and the parts before it,
+    which are few for rows in file order, then the least of all parts."""
+    *outer, inner = c.place or [c.position()]
+    names = [f"p{i}" for i in range(len(outer))]
+    least = c.df.groupBy(v.alias("level"), *[p.alias(n) for p, n in zip(outer, names, strict=True)]).agg(F.min(inner).alias("last")).filter("level IS NOT NULL")
+    first = least.groupBy("level").agg(F.min(F.struct(*names, "last")).alias("at"))
+    return [r["level"] for r in first.agg(F.sort_array(F.collect_list(F.struct("at", "level"))).alias("seen")).first()["seen"]]
 
 
 def as_factor(x: Any) -> Expr:

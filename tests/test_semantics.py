@@ -202,3 +202,25 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     f = t.scan_parquet(f"{sf_dir}/lineitem.parquet") >> t.filter(col("l_quantity") > 49) >> t.group_by("l_returnflag") >> t.summarise(n=t.n())
     plan = f.to_spark()._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,49" in plan and "l_comment" not in plan and "l_tax" not in plan
+
+
+def test_levels_by_appearance_sort_no_rows(spark, tmp_path):
+    rows = [("b", 1, -1.5, "ab"), ("a", 5, float("inf"), "abc"), (None, 9, 3.0, "zz"), ("a", -(2**31), None, ""), ("d", 2**31 - 1, 0.0, "a"), ("c", None, 2.0, None)]
+    spark.createDataFrame(rows, "f string, i int, x double, s string").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    frame = t.scan_parquet(f"{tmp_path}/rows")
+    for order in ([], ["i"], [t.desc("i")], ["x"], [t.desc("x")], ["s"], [t.desc("s")], [t.desc("s"), "i"]):
+        ordered = frame >> t.arrange(*order) if order else frame
+        seen = [r.f for r in ordered.to_spark(sort=True).collect()]
+        c = ordered.context()
+        at = c.position()
+        assert "Window" not in plan_of(c.df.select(at.alias("at")))
+        assert (ordered >> t.mutate(f=t.fct_inorder("f"))).levels["f"] == tuple(dict.fromkeys(x for x in seen if x))
+        got = (ordered >> t.summarise(first=t.first("f"), last=t.last("f"))).to_spark()
+        assert tuple(got.first()) == (seen[0], seen[-1])
+        assert "Window" not in plan_of(got)
+    grouped = frame >> t.mutate(k=t.lit(1)) >> t.group_by("f") >> t.mutate(g=t.fct_inorder("f"))
+    assert grouped.levels["g"] == ("b", "a", "d", "c")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
